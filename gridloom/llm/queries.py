@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_digest, mixing, pii_bootstrap, toxicity_fm, warc_index
+from . import license_digest, mixing, pii_bootstrap, rp_forest, toxicity_fm, warc_index
 from .common import table
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op10_warc_index)}
+    return {f.__name__: f for f in (op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op10_warc_index)}
 
 
 def oracle_sql() -> dict[str, str]:
