@@ -55,22 +55,20 @@ def surt(url: str | None) -> str:
     return quote(key + ")" + (u.path or "/").lower() + (f"?{u.query.lower()}" if u.query else ""), safe=":/?&=,)(%;@!$'*+~.#[]-_")
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, size, refers_to, revisit.
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, url, h, refers_to of the rows that repeat a payload; no html in it.
 
     The largest page_id per digest is a partial aggregate over long payloads only, so a
     payload with a third of all rows costs one row per task.
     """
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select(
-        "*", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size")
-    )
-    top = (
-        pages.select("page_id", F.coalesce("html", F.lit("")).alias("h")).where(F.octet_length("h") >= MIN_REVISIT)
-        .groupBy(F.sha1(F.col("h").cast("binary")).alias("digest")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
-    j = p.join(top, "digest", "left")
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return j.select("page_id", "url", "html", "digest", "size", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
+    long = pages.select("page_id", "url", "html").where(F.octet_length("html") >= MIN_REVISIT)
+    p = long.select("page_id", "url", _row_hash().alias("h"), F.sha1(F.col("html").cast("binary")).alias("digest"))
+    top = p.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return p.join(top, "digest").where(~F.col("page_id").eqNullSafe(F.col("top"))).select("page_id", "url", "h", F.col("top").alias("refers_to")).distinct()
+
+
+def _row_hash():
+    return F.xxhash64("url", F.coalesce("html", F.lit("")))
 
 
 def _head(kind: str, fields: list[tuple[str, str]], length: int) -> bytes:
@@ -83,7 +81,7 @@ def _gz(data: bytes, level: int = 1) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def record(page_id, url, html: str, digest: str, refers_to, revisit: bool) -> bytes:
+def record(page_id, url, html: str, refers_to, revisit: bool) -> bytes:
     """One compressed record; a revisit holds the HTTP head alone."""
     payload = html.encode("utf-8", "surrogatepass")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -91,7 +89,7 @@ def record(page_id, url, html: str, digest: str, refers_to, revisit: bool) -> by
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", quote(url or "", safe=":/?&=,)(%;@!$'*+~.#[]-_")),
-        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"),
         ("X-Page-Id", json.dumps(page_id)),
         ("X-Payload-Length", str(len(payload))),
     ]
@@ -132,22 +130,29 @@ def write(pages: DataFrame, root: str | None = None, shards: int | None = None)
         root = "file://" + root[5:]
     fs, base = _filesystem(root)
     fs.create_dir(base, recursive=True)
-    recs = plan_records(pages)
+    # The pages move once.  Marks of revisits travel along the same sort key and come
+    # right before their rows.
+    rows = pages.select("page_id", "url", _row_hash().alias("h"), F.lit(1).alias("row"), F.lit(None).cast("long").alias("refers_to"), F.coalesce("html", F.lit("")).alias("html"))
+    marks = revisits(pages).select("page_id", "url", "h", F.lit(0).alias("row"), "refers_to", F.lit(None).cast("string").alias("html"))
     key = F.udf(surt, "string")
-    keyed = recs.select(key("url").alias("key"), "page_id", "url", "html", "digest", "refers_to", "revisit")
-    ordered = keyed.repartitionByRange(shards or partitions(spark), "key", "page_id", F.xxhash64("html", "url")).sortWithinPartitions("key", "page_id")
+    keyed = rows.unionByName(marks).withColumn("key", key("url"))
+    ordered = keyed.repartitionByRange(shards or partitions(spark), "key", "page_id", "h").sortWithinPartitions("key", "page_id", "h", "row")
 
     def save(batches):
-        out = None
+        out = mark = None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "digest", "refers_to", "revisit")]):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "h", "row", "refers_to")]):
+                if not row[5]:
+                    mark = (row[0], row[1], row[4]), row[6]
+                    continue
+                revisit = mark is not None and mark[0] == (row[0], row[1], row[4])
                 if out is None:
                     fs, base = _filesystem(root)
                     name = uuid.uuid4().hex
                     out = fs.open_output_stream(f"{base}/{name}.warc.gz.part", compression=None)
                     idx = io.BytesIO()
                     directory, block, at, count, first = [], [], 0, 0, row[0]
-                data = record(*row[1:])
+                data = record(*row[1:4], mark[1] if revisit else None, revisit)
                 out.write(data)
                 block.append(f"{row[0]} {json.dumps([row[1], at, len(data)])}\n")
                 at, count, last = at + len(data), count + 1, row[0]
