@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, jaccard_rtree, license_digest, mixing, pii_bootstrap, rp_forest, toxicity_fm, warc_index
+from . import ctw, jaccard_rtree, license_digest, mixing, pii_bootstrap, rp_forest, suffix_dedup, toxicity_fm, warc_index
 from .common import table
 
 
@@ -39,12 +39,16 @@ def op8_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ctw, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op10_warc_index)}
+    return {f.__name__: f for f in (op1_ctw, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op9_suffix_dedup, op10_warc_index)}
 
 
 def oracle_sql() -> dict[str, str]:
