@@ -119,6 +119,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+_WORDY = np.zeros(256, bool)
+_WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def fold_words(buf: np.ndarray) -> np.ndarray:
+    """ASCII lowered; all but letters, digits and non-ASCII bytes become spaces."""
+    low = _LOWER[buf]
+    return np.where(_WORDY[low], low, np.uint8(32))
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 

@@ -22,18 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, column, lower_ascii, materialise, mix64, pieces, prefix_hash, word_spans
+from .common import U64, as_bytes, column, fold_words, materialise, mix64, pieces, prefix_hash, word_spans
 
 BITS = 18
 THRESHOLD = 0.3
-_WORDY = np.zeros(256, bool)
-_WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def doc_terms(buf: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) pairs, distinct: ASCII-lowered runs of letters, digits and non-ASCII bytes."""
-    low = lower_ascii(buf)
-    spaced = np.where(_WORDY[low], low, np.uint8(32))
+    spaced = fold_words(buf)
     s, e, n = word_spans(spaced, offs)
     p, inv = prefix_hash(spaced)
     h = mix64((p[e] - p[s]) * inv[s] + (e - s).astype(U64))
@@ -53,11 +50,23 @@ def held(doc_id, mod: int = 4, keep: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == keep
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, mod: int = 4, keep: int = 2) -> DataFrame:
-    """doc_id, text, toxic of labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, mod: int = 4, keep: int = 2, bits: int = BITS) -> DataFrame:
+    """doc_id, terms, toxic of labelled rows outside the held-out fold.
+
+    Terms, not texts, move to the labels; the join is by shuffle at every size, since
+    the number of labels has no bound.
+    """
     lab = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    lab = lab.where(~held(F.col("doc_id"), mod, keep))
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(lab, "doc_id")
+    src = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(~held(F.col("doc_id"), mod, keep))
+
+    def read(batches):
+        for b in batches:
+            for i, j, d, t in _terms_of(b):
+                at = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(t.astype(np.int32)))], ["doc_id", "terms"])
+
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(read, f"doc_id {id_type}, terms array<int>").join(lab.hint("merge"), "doc_id")
 
 
 def term_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
@@ -69,9 +78,10 @@ def term_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
         for b in batches:
             y = column(b, "toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             docs, dtox = docs + len(y), dtox + int(y.sum())
-            for i, _, d, t in _terms_of(b):
-                n += np.bincount(t, minlength=size)
-                tox += np.bincount(t, weights=y[i + d], minlength=size).astype(np.int64)
+            lists = column(b, "terms")
+            t = lists.flatten().to_numpy()
+            n += np.bincount(t, minlength=size)
+            tox += np.bincount(t, weights=np.repeat(y, lists.value_lengths().to_numpy()), minlength=size).astype(np.int64)
         if docs:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[docs, n[at]]), pa.array(np.r_[dtox, tox[at]])], ["bucket", "n", "toxic"])
@@ -155,17 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, terms: int = 1024, max_rows: int =
     lut = Machine(chosen, factors=factors).index()
     # A seeded share of the rows, so that max_rows are expected at most and no sort is needed.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fm")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))
-    sample = rows.where(drawn).select("text", "toxic", F.md5(F.concat_ws(":", F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).alias("k"))
+    sample = rows.where(drawn).select("terms", "toxic", F.md5(F.concat_ws(":", F.col("doc_id"), F.col("terms").cast("string"))).alias("k"))
 
     def pick(batches):
         for b in batches:
-            y, out = column(b, "toxic").to_numpy(zero_copy_only=False), [[] for _ in range(b.num_rows)]
-            key = column(b, "k").to_pylist()
-            for i, _, d, t in _terms_of(b):
-                ix = lut[t]
-                for x, v in zip((i + d[ix >= 0]).tolist(), ix[ix >= 0].tolist()):
-                    out[x].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(y.astype(np.int32)), pa.array(out, pa.list_(pa.int32()))], ["k", "toxic", "terms"])
+            lists = column(b, "terms")
+            ix = lut[lists.flatten().to_numpy()]
+            own = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[ix >= 0]
+            at = np.searchsorted(own, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "toxic"), pa.ListArray.from_arrays(pa.array(at), pa.array(ix[ix >= 0].astype(np.int32)))], ["k", "toxic", "terms"])
 
     got = sample.mapInArrow(pick, "k string, toxic int, terms array<int>").toArrow().sort_by("k")
     y = got.column("toxic").to_numpy().astype(np.float64)
