@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, jaccard_rtree, license_digest, mixing, pii_bootstrap, rp_forest, suffix_dedup, toxicity_fm, warc_index
+from . import ctw, jaccard_rtree, license_digest, lsa_decontam, mixing, pii_bootstrap, rp_forest, suffix_dedup, toxicity_fm, warc_index
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op2_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -48,7 +52,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ctw, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op9_suffix_dedup, op10_warc_index)}
+    return {f.__name__: f for f in (op1_ctw, op2_lsa_decontam, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op9_suffix_dedup, op10_warc_index)}
 
 
 def oracle_sql() -> dict[str, str]:
