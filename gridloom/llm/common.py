@@ -124,8 +124,11 @@ _WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def fold_words(buf: np.ndarray) -> np.ndarray:
-    """ASCII lowered; all but letters, digits and non-ASCII bytes become spaces."""
+    """ASCII and Latin-1 letters lowered; all but letters, digits and non-ASCII bytes become spaces."""
     low = _LOWER[buf]
+    if len(low):  # U+00C0..U+00DE are C3 80..C3 9E; C3 97 is a sign
+        upper = (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)
+        low[1:][upper] += 0x20
     return np.where(_WORDY[low], low, np.uint8(32))
 
 

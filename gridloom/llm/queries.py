@@ -51,8 +51,14 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ctw, op2_lsa_decontam, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op9_suffix_dedup, op10_warc_index)}
+    return {f.__name__: f for f in (op1_ctw, op2_lsa_decontam, op3_rp_forest, op4_license_digest, op5_pii_bootstrap, op6_toxicity_fm, op7_mix_sources, op8_jaccard_rtree, op9_suffix_dedup, op10_warc_index, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
