@@ -195,7 +195,7 @@ def redact(docs: DataFrame, mask: str = "[{}]", **options) -> DataFrame:
         F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("k")))).alias("_spans"),
     ).dropDuplicates(["_d", "_n", "_h"])
     text = F.coalesce(docs["text"], F.lit(""))
-    j = docs.join(spans, (F.coalesce(docs["doc_id"], F.lit(-1)) == spans["_d"]) & (docs["doc_id"].isNull() == spans["_n"]) & (F.xxhash64(text) == spans["_h"]), "left")
+    j = docs.join(spans.hint("merge"), (F.coalesce(docs["doc_id"], F.lit(-1)) == spans["_d"]) & (docs["doc_id"].isNull() == spans["_n"]) & (F.xxhash64(text) == spans["_h"]), "left")
     names = F.array(*[F.lit(mask.format(k.upper())) for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
