@@ -43,7 +43,7 @@ GRAM = 32
 REACH = WIDTH - GRAM  # windows start up to this far before their anchor
 COLS = REACH + WIDTH
 PAD = 0xFF
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 LAST = np.iinfo(np.int64).max
 META = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("block", "<i4"), ("at", "<i8"), ("lo", "<i4"), ("n", "<i4")])
 
@@ -155,7 +155,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, a, z - 1
 
 
-def reduce_segments(meta: np.ndarray, text: np.ndarray, batch: int = 1 << 17):
+def reduce_segments(meta: np.ndarray, text: np.ndarray, batch: int = 1 << 14):
     """Repeats among segments.  Returns removed (block, doc, h, start, end) and the meta and
     texts of what is first.  ``text``: the segments' bytes, one after another."""
     end = np.cumsum(meta["n"].astype(np.int64) + WIDTH - 1)
