@@ -26,15 +26,25 @@ from .common import U64, as_bytes, column, fold_words, materialise, mix64, piece
 
 BITS = 18
 THRESHOLD = 0.3
+#: Word beginnings of so many bytes are terms as well: they carry over to unseen compounds.
+PREFIXES = (5, 7)
 
 
 def doc_terms(buf: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) pairs, distinct: ASCII-lowered runs of letters, digits and non-ASCII bytes."""
+    """(document, bucket) pairs, distinct: lowered runs of letters, digits and non-ASCII
+    bytes, and the beginnings of longer ones."""
     spaced = fold_words(buf)
     s, e, n = word_spans(spaced, offs)
     p, inv = prefix_hash(spaced)
     h = mix64((p[e] - p[s]) * inv[s] + (e - s).astype(U64))
     doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    docs, hashes = [doc], [h]
+    for size in PREFIXES:
+        long = e - s > size
+        at = s[long]
+        docs.append(doc[long])
+        hashes.append(mix64((p[at + size] - p[at]) * inv[at] + U64(size << 32)))
+    doc, h = np.concatenate(docs), np.concatenate(hashes)
     pair = np.unique((doc << U64(bits)) | (h & U64((1 << bits) - 1)))
     return (pair >> U64(bits)).astype(np.int64), (pair & U64((1 << bits) - 1)).astype(np.int64)
 
@@ -90,7 +100,7 @@ def term_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def select_terms(counts, terms: int = 1024, least: int = 3) -> np.ndarray:
+def select_terms(counts, terms: int = 2048, least: int = 3) -> np.ndarray:
     """Buckets with the largest chi-squared-like statistic between label and presence."""
     b, n, t = (np.array([r[c] for r in counts], np.float64) for c in ("bucket", "n", "toxic"))
     if not (b == -1).any():
@@ -153,7 +163,7 @@ class Machine:
                 self.w0 -= rate * err.sum() / np.sqrt(g0)
 
 
-def train(docs: DataFrame, labels: DataFrame, terms: int = 1024, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, terms: int = 2048, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
     """A machine fitted on rows outside the fold ``crc32(doc_id) mod mod = keep``.
 
     To the driver come at most 2^BITS counts and the selected terms of max_rows rows.
