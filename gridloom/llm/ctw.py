@@ -9,9 +9,9 @@ Texts are ASCII-lowered, preceded and ended by the byte 0xFF (never part of UTF-
 the probabilities of all texts sum to one.
 
 Distribution.  Texts are dealt to blocks of about ``BLOCK_BYTES`` by a hash of doc_id.
-A block yields its distinct (context, byte) grams and tokens with their training counts;
-counts are summed over blocks; the gram table is dealt by the two nearest context bytes,
-below which at most 2^24 grams exist, and each such subtree is weighted in one task.  The
+A block yields its distinct (context, byte) grams and tokens with their training counts, in
+packed columns; counts are summed over blocks; grams are dealt by the two nearest context bytes,
+so that each such subtree is weighted in one task.  The
 depths 0 and 1 above, at most 65,280 nodes, are summed and broadcast.  Each block then
 gets back the log-probabilities of just its own grams and the counts of its own tokens.
 
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, column, lower_ascii, materialise, partitions, pieces, word_hashes, word_spans
+from .common import U64, as_bytes, column, lower_ascii, materialise, mix64, partitions, pieces, word_hashes, word_spans
 
-DEPTH = 6
+DEPTH = 5
 BLOCK_BYTES = 24 << 20
 END_TOKEN = 0  # a token hash of its own; word hashes are odd
 _LN2 = math.log(2.0)
@@ -209,13 +209,42 @@ class Top:
         return p
 
 
-def _gram_arrays(t: pa.Table):
-    t = t.sort_by("key")
-    return t.column("key").to_numpy().astype(np.int64).view(U64), t.column("cnt").to_numpy()
+def pack(x: np.ndarray, delta: bool = False) -> bytes:
+    """A compressed column; ``delta`` for sorted keys."""
+    x = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)) if delta else x)
+    planes = x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, dtype, delta: bool = False) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    width = np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(x, dtype=dtype) if delta else x
+
+
+def _bucket_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of all blocks with their summed counts, and each block's keys."""
+    own = [unpack(x, np.int64, True) for x in t.column("keys").to_pylist()]
+    cnt = [unpack(x, np.int64) for x in t.column("vals").to_pylist()]
+    key, total = _merge([(k, c) for k, c in zip(own, cnt)])
+    return key, total, own
+
+
+def _answers(t: pa.Table, own: list[np.ndarray], key: np.ndarray, value: np.ndarray, stats: tuple = (0, 0)) -> pa.Table:
+    """Each block's keys with their values, as they were asked for."""
+    vals = [pack(value[np.searchsorted(key, k)]) for k in own]
+    n = t.num_rows
+    return pa.table([t.column("block"), t.column("kind"), t.column("keys"), pa.array(vals, pa.binary()), pa.array([stats[0], *[0] * (n - 1)]), pa.array([stats[1], *[0] * (n - 1)])], names=["block", "kind", "keys", "vals", "n", "v"])
+
+
+ANSWERS = "block long, kind int, keys binary, vals binary, n long, v long"
 
 
 def summarise(t: pa.Table) -> pa.Table:
-    code, cnt = _gram_arrays(t)
+    key, cnt, _ = _bucket_keys(t)
+    code = key.view(U64)
     out = []
     for j in range(8):
         s = Subtree(code, cnt, j)
@@ -242,7 +271,7 @@ def fold(doc_id, mod: int = 7, keep: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == keep
 
 
-def _block_counts(t: pa.Table) -> pa.Table:
+def _block_counts(t: pa.Table, buckets: int) -> pa.Table:
     buf, offs = as_bytes(t.column("text"))
     held = t.column("held").to_numpy(zero_copy_only=False) if isinstance(t.column("held"), pa.Array) else t.column("held").combine_chunks().to_numpy(zero_copy_only=False)
     block = t.column("block")[0].as_py()
@@ -256,8 +285,17 @@ def _block_counts(t: pa.Table) -> pa.Table:
             if len(into) > 16:
                 into[:] = [_merge(into)]
     (gk, gc), (tk, tc) = _merge(grams_), _merge(tokens_)
-    kind = np.r_[np.zeros(len(gk), np.int32), np.ones(len(tk), np.int32)]
-    return pa.table([np.full(len(kind), block, np.int64), kind, np.r_[gk, tk], np.r_[gc, tc].astype(np.int64)], names=["block", "kind", "key", "cnt"])
+    near = (gk.view(U64) >> U64(8)) & U64(0xFFFF)  # the nearest two bytes of the context
+    rows: list = []
+    for kind, key, cnt, dest in ((0, gk, gc, mix64(near)), (1, tk, tc, mix64(tk.view(U64)))):
+        dest = (dest % U64(buckets)).astype(np.int64)
+        order = np.argsort(dest, kind="stable")
+        dest = dest[order]
+        cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.zeros(0, np.int64)
+        for x, y in zip(cut, np.r_[cut[1:], len(dest)] if len(dest) else cut):
+            r = order[x:y]
+            rows.append((block, kind, int(dest[x]), pack(key[r], True), pack(cnt[r].astype(np.int64))))
+    return pa.table([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "kind", "bucket", "keys", "vals"])
 
 
 def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
@@ -268,32 +306,36 @@ def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(partitions(spark), size >> 20))
     d = d.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.length("text")), F.lit(blocks)))
-    counts = materialise(d.groupBy("block").applyInArrow(_block_counts, "block long, kind int, key long, cnt long"), "ctw")
-    by_key = counts.groupBy("kind", "key").agg(F.sum("cnt").alias("cnt"))
-    words = by_key.where("kind = 1").select("key", "cnt")
-    stat = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("cnt") > 0).cast("long")), F.lit(0)).alias("v")).first()
+    buckets = max(64, partitions(spark))
+    counts = materialise(d.groupBy("block").applyInArrow(lambda t: _block_counts(t, buckets), "block long, kind int, bucket long, keys binary, vals binary"), "ctw")
+
+    def sum_tokens(t: pa.Table) -> pa.Table:
+        key, cnt, own = _bucket_keys(t)
+        return _answers(t, own, key, cnt.astype(np.float64), (int(cnt.sum()), int((cnt > 0).sum())))
+
+    words = materialise(counts.where("kind = 1").groupBy("bucket").applyInArrow(sum_tokens, ANSWERS), "ctw")
+    stat = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, vocab = stat["n"], stat["v"]
-    model = materialise(by_key.where("kind = 0").select("key", "cnt"), "ctw")
-    # The code's third and fourth bytes are the nearest two of the context.
-    dealt = model.withColumn("near", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(4 * partitions(spark))))
     top = Top(
-        dealt.groupBy("near").applyInArrow(summarise, "near long, pid long, a double, b double, lw double")
+        counts.where("kind = 0").groupBy("bucket").applyInArrow(summarise, "near long, pid long, a double, b double, lw double")
         .groupBy("near", "pid").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("lw")).collect()  # at most 65,280 rows
     )
     bc = spark.sparkContext.broadcast(top)
 
     def evaluate(t: pa.Table) -> pa.Table:
-        code, cnt = _gram_arrays(t)
-        return pa.table([code.view(np.int64), log_probs(code, cnt, bc.value)], names=["key", "val"])
+        key, cnt, own = _bucket_keys(t)
+        return _answers(t, own, key, log_probs(key.view(U64), cnt, bc.value).astype(np.float32).astype(np.float64))
 
-    known = dealt.groupBy("near").applyInArrow(evaluate, "key long, val double")
-    values = counts.where("kind = 0").select("block", "kind", "key").join(known, "key").select("block", "kind", "key", "val")
-    values = values.unionByName(counts.where("kind = 1").select("block", "kind", "key").join(words, "key").select("block", "kind", "key", F.col("cnt").cast("double").alias("val")))
+    known = counts.where("kind = 0").groupBy("bucket").applyInArrow(evaluate, ANSWERS)
+    values = words.select("block", "kind", "keys", "vals").unionByName(known.select("block", "kind", "keys", "vals"))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, offs = as_bytes(left.column("text"))
-        kind, key, val = (right.column(c).to_numpy() for c in ("kind", "key", "val"))
-        gram, tok = Table(key[kind == 0], val[kind == 0]), Table(key[kind == 1], val[kind == 1])
+        kind, keys, vals = (right.column(c).to_pylist() for c in ("kind", "keys", "vals"))
+        gram, tok = (
+            Table(np.concatenate([unpack(k, np.int64, True) for k, x in zip(keys, kind) if x == want]), np.concatenate([unpack(v, np.float64) for v, x in zip(vals, kind) if x == want]))
+            for want in (0, 1)
+        )
         cols: list = []
         for i, j in pieces(offs):
             low, o = lower_ascii(buf[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
