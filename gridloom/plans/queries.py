@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import allocation, cleaning, clustering, constraints, frames, graph, spatial, temporal
+from ..operators import allocation, cleaning, clustering, constraints, frames, graph, network, spatial, temporal
 from ..session import Catalog
 from . import summary
 
@@ -685,3 +685,73 @@ def land_use(c):
 def rename_techs(c):
     t = scalars.rename_tech(F.col("p_type"), ["residential "], {"STEEL": "metal", "BRASS": "alloy", "COPPER": "alloy"}, {})
     return c.part.groupBy(t.alias("tech")).agg(F.count("*").alias("n"))
+
+
+# -------------------------------------------------------- network construction
+def lines(c) -> DataFrame:
+    return c.lineitem.select(F.col("l_orderkey").cast("string").alias("line_id"), (F.col("l_partkey") % 50).alias("geometry"), (F.col("l_linenumber") * 110000).alias("voltage"), F.col("l_quantity").alias("circuits"))
+
+
+@query("""WITH l AS (SELECT l_orderkey::VARCHAR AS line_id, l_partkey % 50 AS geometry, l_linenumber * 110000 AS voltage, l_quantity AS circuits FROM lineitem)
+ SELECT CASE WHEN count(*) > 1 THEN min(line_id) || '-' || (voltage // 1000)::VARCHAR ELSE min(line_id) END AS line_id, geometry, voltage, round(sum(circuits), 4) AS circuits FROM l GROUP BY geometry, voltage""")
+def merge_parallel_lines(c):
+    return network.merge_parallel(lines(c)).select("line_id", "geometry", "voltage", r("circuits").alias("circuits"))
+
+
+@query("""WITH b AS (SELECT s_nationkey AS station_id, s_suppkey AS bus_id, (s_suppkey % 3 + 1) * 110 AS voltage, abs(s_acctbal) AS s_nom FROM supplier),
+ p AS (SELECT station_id, bus_id AS bus0, voltage AS v0, s_nom AS s0, lead(bus_id) OVER w AS bus1, lead(voltage) OVER w AS v1, lead(s_nom) OVER w AS s1 FROM b WINDOW w AS (PARTITION BY station_id ORDER BY voltage, bus_id))
+ SELECT station_id, bus0, bus1, round(greatest(s0, s1), 4) AS s_nom FROM p WHERE bus1 IS NOT NULL AND v0 <> v1""")
+def station_transformers(c):
+    b = c.supplier.select(F.col("s_nationkey").alias("station_id"), F.col("s_suppkey").alias("bus_id"), ((F.col("s_suppkey") % 3 + 1) * 110).alias("voltage"), F.abs("s_acctbal").alias("s_nom"))
+    return network.station_transformers(b).select("station_id", "bus0", "bus1", r("s_nom").alias("s_nom"))
+
+
+@query("SELECT bus, ceil(sum(s))::BIGINT AS s_nom FROM (SELECT l_suppkey AS bus, round(l_quantity * 1.7, 1) AS s FROM lineitem UNION ALL SELECT l_partkey, round(l_quantity * 1.7, 1) FROM lineitem) GROUP BY 1")
+def bus_capacity(c):
+    return network.bus_capacity(c.lineitem.select(F.col("l_suppkey").alias("bus0"), F.col("l_partkey").alias("bus1"), F.round(F.col("l_quantity") * 1.7, 1).alias("s_nom")))
+
+
+@query("SELECT c_custkey, greatest(coalesce(floor(abs(c_acctbal) / nullif(max(abs(c_acctbal)) OVER (PARTITION BY c_nationkey), 0) * 100), 0), 1)::INT AS w FROM customer")
+def integer_weights(c):
+    return network.integer_weights(c.customer.withColumn("x", F.abs("c_acctbal")), "c_nationkey", "x").select("c_custkey", "w")
+
+
+@query("WITH b AS (SELECT n_regionkey::VARCHAR AS country, min(n_name) AS bus FROM nation GROUP BY 1) SELECT h.bus AS bus0, b.bus AS bus1, 999.0 AS p_nom FROM b JOIN b h ON h.country = '0' WHERE b.country IN ('1', '3')")
+def copperplate(c):
+    b = c.nation.select(F.col("n_regionkey").cast("string").alias("country"), F.col("n_name").alias("name"))
+    return network.copperplate(b, [["0", "1", "3"]], 999.0).select("bus0", "bus1", "p_nom")
+
+
+@query("WITH s AS (SELECT s_suppkey, s_suppkey // 10 AS c, (s_suppkey % 7 + 1)::DOUBLE AS l FROM supplier WHERE s_suppkey % 10 <> 9) SELECT min(s_suppkey::VARCHAR) AS chain, round(sum(l), 4) AS length, round(min(l), 4) AS p_nom, count(*) AS n FROM s GROUP BY c")
+def fold_chains(c):
+    """Links i to i + 1 within decades: nine links of a decade make one chain."""
+    k = F.col("s_suppkey")
+    l = c.supplier.where("s_suppkey % 10 <> 9").select(k.alias("name"), k.alias("bus0"), (k + 1).alias("bus1"), (k % 7 + 1).cast("double").alias("length"), (k % 7 + 1).cast("double").alias("p_nom"))
+    out = network.fold_chains(l, c.supplier.where("s_suppkey < 0").select(k.alias("bus")))
+    return out.select("chain", r("length").alias("length"), r("p_nom").alias("p_nom"), "n")
+
+
+# ----------------------------------------------------- multi-period summaries
+@query(f"WITH {_D}, y AS (SELECT year(snapshot) AS period, carrier, sum(sign * p * w) AS energy FROM d GROUP BY ALL) SELECT carrier, round(sum(energy) FILTER (WHERE period = 1994), 4) AS \"1994\", round(sum(energy) FILTER (WHERE period = 1996), 4) AS \"1996\" FROM y GROUP BY 1")
+def energy_by_period(c):
+    e = summary.energy_balance(dispatch(c).withColumn("period", F.year("snapshot")), ["carrier", "period"])
+    return summary.wide(e, ["carrier"], "period", [1994, 1996], "energy").select("carrier", r("1994").alias("1994"), r("1996").alias("1996"))
+
+
+@query("""SELECT y AS period, round(sum(v) / pow(1.03, y - 1992), 2) AS cost FROM (SELECT year(o_orderdate) AS y, o_totalprice AS v FROM orders) GROUP BY 1""")
+def discounted_costs_by_period(c):
+    g = c.orders.groupBy(F.year("o_orderdate").cast("long").alias("period")).agg(F.sum("o_totalprice").alias("v"))
+    return g.select("period", r(F.col("v") / F.pow(F.lit(1.03), F.col("period") - 1992), 2).alias("cost"))
+
+
+@query("""WITH a AS (SELECT p_type AS carrier, 1980 + p_partkey % 40 AS b, 10 + p_partkey % 30 AS life, p_size::DOUBLE AS p FROM part) SELECT y AS period, carrier, round(sum(p), 4) AS p_nom_opt FROM a, (VALUES (2000), (2010), (2020)) t(y) WHERE b <= y AND b + life > y GROUP BY ALL""")
+def capacity_alive_by_period(c):
+    a = c.part.select(F.col("p_type").alias("carrier"), (F.col("p_partkey") % 40 + 1980).alias("b"), (F.col("p_partkey") % 30 + 10).alias("life"), F.col("p_size").cast("double").alias("p_nom_opt"))
+    a = a.withColumn("period", F.explode(F.array(F.lit(2000), F.lit(2010), F.lit(2020)))).where("b <= period AND b + life > period")
+    return summary.capacities(a, ["period", "carrier"]).withColumn("p_nom_opt", r("p_nom_opt"))
+
+
+@query("""WITH w AS (SELECT l_shipdate AS t, avg(l_discount) AS price FROM lineitem GROUP BY 1) SELECT o_orderstatus AS carrier, round(sum(o_totalprice * (1 + price)), 2) AS cost FROM orders JOIN w ON w.t = o_orderdate GROUP BY 1""")
+def dynamic_price_costs(c):
+    w = c.lineitem.groupBy(F.col("l_shipdate").alias("o_orderdate")).agg(F.avg("l_discount").alias("price"))
+    return c.orders.join(w, "o_orderdate").groupBy(F.col("o_orderstatus").alias("carrier")).agg(r(F.sum(F.col("o_totalprice") * (1 + F.col("price"))), 2).alias("cost"))

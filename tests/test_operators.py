@@ -198,3 +198,28 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.stop()
     batch = temporal.nhour(df, ["k"], "ts", 3, ["value"], [])
     assert sorted(r["mean"] for r in spark.table("tumble").collect()) == sorted(r["value"] for r in batch.collect())
+
+
+def test_options_and_years():
+    from gridloom.plans.options import at_year, parse_options
+
+    o = parse_options("Co2L0.5-3h-solar+c0.5-EQ0.7c-lv1.25-CF+a+b+true-cb40ex0-T")
+    assert o["co2_limit"] == 0.5 and o["resolution"] == ("mean", 3) and o["adjust"] == [("solar", "capital_cost", 0.5)]
+    assert o["self_sufficiency"] == (0.7, "country") and o["line_limit"] == ("volume", 1.25) and o["config"] == [(["a", "b"], True)]
+    assert o["carbon_budget"] == (40.0, "exponential", 0.0) and o["other"] == ["T"]
+    table = {2020: 1.0, 2030: 3.0}
+    assert [at_year(table, y) for y in (2010, 2020, 2025, 2040)] == [1.0, 1.0, 2.0, 3.0] and at_year(7, 2030) == 7
+
+
+def test_carbon_path_spends_budget():
+    from gridloom.plans.options import carbon_path
+
+    for kind in ("exponential", "beta"):
+        path = carbon_path(kind, 40.0, 4.0, list(range(2020, 2200)))
+        assert abs(sum(path.values()) - 40.0) < 3.0 and path[2020] == 4.0
+
+
+def test_cluster_allocation():
+    from gridloom.operators.network import allocate_clusters
+
+    assert allocate_clusters({"a": 60.0, "b": 30.0, "c": 10.0}, {"a": 4, "b": 9, "c": 9}, 10) == {"a": 4, "b": 4, "c": 2}
