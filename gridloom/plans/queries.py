@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import allocation, cleaning, clustering, constraints, frames, graph, network, spatial, temporal
+from ..operators import allocation, cleaning, clustering, constraints, frames, graph, network, sectors, spatial, temporal
 from ..session import Catalog
 from . import summary
 
@@ -755,3 +755,78 @@ def capacity_alive_by_period(c):
 def dynamic_price_costs(c):
     w = c.lineitem.groupBy(F.col("l_shipdate").alias("o_orderdate")).agg(F.avg("l_discount").alias("price"))
     return c.orders.join(w, "o_orderdate").groupBy(F.col("o_orderstatus").alias("carrier")).agg(r(F.sum(F.col("o_totalprice") * (1 + F.col("price"))), 2).alias("cost"))
+
+
+# ----------------------------------------------------- costs, energy, heat
+@query("""WITH p AS (SELECT p_partkey AS technology, p_retailprice AS inv, (p_size % 3)::DOUBLE AS fom, CASE WHEN p_size % 2 = 0 THEN p_size + 5.0 ELSE 25.0 END AS life FROM part)
+ SELECT technology, round((0.07 / (1 - 1 / pow(1.07, life)) + fom / 100) * inv, 4) AS capital_cost, round(1.5 + 20.0 / 0.4, 4) AS marginal_cost FROM p""")
+def prepare_costs(c):
+    p = c.part.select(F.col("p_partkey").alias("technology"), "p_retailprice", "p_size")
+    long = (
+        p.select("technology", F.lit("investment").alias("parameter"), F.col("p_retailprice").alias("value"))
+        .unionByName(p.select("technology", F.lit("FOM").alias("parameter"), (F.col("p_size") % 3).cast("double").alias("value")))
+        .unionByName(p.where("p_size % 2 = 0").select("technology", F.lit("lifetime").alias("parameter"), (F.col("p_size") + 5.0).alias("value")))
+    )
+    out = sectors.prepare_costs(long, {"investment": 0, "FOM": 0, "lifetime": 25, "discount rate": 0.07, "VOM": 1.5, "fuel": 20, "efficiency": 0.4})
+    return out.select("technology", r("capital_cost").alias("capital_cost"), r("marginal_cost").alias("marginal_cost"))
+
+
+@query("SELECT 'battery' AS technology, round(a.p_retailprice + 6 * b.p_retailprice, 4) AS capital_cost FROM part a, part b WHERE a.p_partkey = 1 AND b.p_partkey = 2")
+def storage_costs(c):
+    k = c.part.select(F.col("p_partkey").cast("string").alias("technology"), F.col("p_retailprice").alias("capital_cost"))
+    return sectors.storage_costs(k, {"battery": ("1", "2", 6.0)}).withColumn("capital_cost", r("capital_cost"))
+
+
+@query("""WITH a AS (SELECT s_nationkey AS k, sum(s_acctbal) AS a FROM supplier WHERE s_nationkey < 18 GROUP BY 1), b AS (SELECT c_nationkey AS k, sum(c_acctbal) AS b FROM customer WHERE c_nationkey > 5 GROUP BY 1)
+ SELECT coalesce(a.k, b.k) AS k, round(coalesce(a * 0.7 + b * 0.3, b, a), 4) AS value FROM a FULL JOIN b ON a.k = b.k""")
+def blend_ratios(c):
+    a = c.supplier.where("s_nationkey < 18").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("value"))
+    b = c.customer.where("c_nationkey > 5").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("value"))
+    return sectors.blend_ratios(a, b, ["k"], 0.3).withColumn("value", r("value"))
+
+
+@query("""WITH d AS (SELECT c_custkey AS id, c_nationkey AS k, abs(c_acctbal) + 1 AS v FROM customer) SELECT id, round(CASE WHEN k < 10 THEN v * 1000 / sum(v) OVER (PARTITION BY k) ELSE v END, 4) AS v FROM d""")
+def rescale_totals(c):
+    d = c.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), (F.abs("c_acctbal") + 1).alias("v"))
+    ref = c.nation.where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.lit(1000.0).alias("v"))
+    return sectors.rescale(d, ref, "k", "v").select("id", r("v").alias("v"))
+
+
+@query("""WITH d AS (SELECT n_regionkey AS k, n_nationkey AS y, (n_nationkey * 10)::DOUBLE AS v FROM nation), s AS (SELECT * FROM (VALUES (0, 7, 0.25), (0, 8, 0.75)) t(old, new, share))
+ SELECT coalesce(new, k) AS k, y, round(sum(v * coalesce(share, 1.0)), 4) AS v FROM d LEFT JOIN s ON old = k GROUP BY 1, 2""")
+def split_dissolved(c):
+    d = c.nation.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("y"), (F.col("n_nationkey") * 10).cast("double").alias("v"))
+    s = c.spark.createDataFrame([(0, 7, 0.25), (0, 8, 0.75)], "old int, new int, share double")
+    return sectors.split_dissolved(d, s, "k", "v").withColumn("v", r("v"))
+
+
+@query("SELECT o_orderstatus AS k, round(sum(o_totalprice * 0.36 + o_custkey * 0.2), 2) AS co2 FROM orders GROUP BY 1")
+def emissions_from_fuel(c):
+    d = c.orders.select(F.col("o_orderstatus").alias("k"), F.col("o_totalprice").alias("coal"), F.col("o_custkey").cast("double").alias("gas"))
+    return sectors.emissions_from_fuel(d, ["k"], {"coal": 0.36, "gas": 0.2}).withColumn("co2", r("co2", 2))
+
+
+@query("SELECT p_partkey, coalesce(nullif((p_size % 2)::DOUBLE, 0), nullif((p_size % 3)::DOUBLE, 0), p_retailprice) AS v FROM part")
+def estimate_fallback(c):
+    d = c.part.select("p_partkey", (F.col("p_size") % 2).cast("double").alias("a"), (F.col("p_size") % 3).cast("double").alias("b"), F.col("p_retailprice").alias("z"))
+    return sectors.fallback(d, ["a", "b", "z"], "v").select("p_partkey", "v")
+
+
+@query("""WITH n AS (SELECT c_nationkey AS ct, c_custkey AS node, (c_custkey % 9 + 1)::DOUBLE AS pop, (c_custkey % 4) / 4.0 AS u FROM customer), s AS (SELECT *, pop / sum(pop) OVER (PARTITION BY ct) AS sh FROM n)
+ SELECT node, 'boiler' AS technology, area, round(500.0 * sh * CASE WHEN area = 'urban' THEN u ELSE 1 - u END, 6) AS value FROM s, (VALUES ('urban'), ('rural')) a(area)""")
+def heating_distribution(c):
+    t = c.nation.select(F.col("n_nationkey").alias("ct"), F.lit("boiler").alias("technology"), F.lit(500.0).alias("value"))
+    n = c.customer.select(F.col("c_nationkey").alias("ct"), F.col("c_custkey").alias("node"), (F.col("c_custkey") % 9 + 1).cast("double").alias("population"), ((F.col("c_custkey") % 4) / 4.0).alias("urban_fraction"))
+    return sectors.heating_distribution(t, n, "ct").withColumn("value", r("value", 6))
+
+
+@query("SELECT c_custkey, round(s + 0.5 * greatest(least(0.6, u) - s, 0), 8) AS district_fraction FROM (SELECT c_custkey, (c_custkey % 5) / 10.0 AS s, (c_custkey % 4) / 4.0 AS u FROM customer)")
+def district_heat_share(c):
+    d = c.customer.select("c_custkey", ((F.col("c_custkey") % 5) / 10.0).alias("share"), ((F.col("c_custkey") % 4) / 4.0).alias("urban_fraction"))
+    return sectors.district_heat_share(d, 0.5, 0.6).select("c_custkey", r("district_fraction", 8).alias("district_fraction"))
+
+
+@query("""WITH m AS (SELECT p_type AS k, p_name AS measure, p_retailprice AS cost, p_size / 50.0 AS saving FROM part WHERE p_size >= 20) SELECT DISTINCT k, first_value(measure) OVER w AS measure, first_value(cost) OVER w AS cost FROM m WINDOW w AS (PARTITION BY k ORDER BY cost, measure)""")
+def retrofit_measure(c):
+    d = c.part.select(F.col("p_type").alias("k"), F.col("p_name").alias("measure"), F.col("p_retailprice").alias("cost"), (F.col("p_size") / 50.0).alias("saving"))
+    return sectors.cheapest_measure(d, ["k"], 0.4)
