@@ -5,7 +5,10 @@ bounded sample (``sample_rows``) along it.  All rows are indexed: each gets one
 tree.  A query visits the (tree, leaf) pairs of all trees in one order of priority, the
 squared distance to the violated splits, until the leaves visited hold
 ``share`` of the rows; since leaf sizes are known, the queue's end is one priority per
-query.  Rows of the visited leaves are reranked by their exact inner product.
+query.  Rows of the visited leaves are reranked by their exact inner product; a pair is
+scored in the first tree whose leaf holds it, and a task returns no row under the 2k-th
+best of the sample.  Queries left with fewer than k rows by that are searched once more
+without it.
 
 Scale: rows are dealt by (tree, leaf range, salt), queries in blocks of ``QUERY_BLOCK``;
 a task holds one block and one range, and returns k rows per query.  Leaves with more
@@ -96,8 +99,9 @@ class Forest:
         return p[np.arange(len(q)), order[np.arange(len(q)), last]]
 
 
-def _nearest(q, qid, x, xid, sel, leaf_of, k, out):
-    """Exact scores of the rows in leaves that each query visits; the best k per query."""
+def _nearest(q, qid, x, xid, sel, leaf_of, earlier, k, out):
+    """Exact scores of the rows in leaves that each query visits; the best k per query.
+    ``earlier``: (visited leaves, the rows' leaves) of the trees before."""
     scores = np.full((len(q), len(x)), -np.inf)
     for leaf in np.unique(leaf_of):
         cols = np.flatnonzero(leaf_of == leaf)
@@ -105,6 +109,8 @@ def _nearest(q, qid, x, xid, sel, leaf_of, k, out):
         if len(rows):
             scores[np.ix_(rows, cols)] = q[rows] @ x[cols].T
     scores[qid[:, None] == xid[None]] = -np.inf
+    for seen, where in earlier:
+        scores[seen[:, where]] = -np.inf
     top = np.abs(scores[np.isfinite(scores)]).max(initial=0.0) or 1.0
     rank = np.argsort(np.argsort(xid, kind="stable"))
     key = np.where(np.isfinite(scores), np.round(np.nan_to_num(scores, neginf=0) / top * 2.0**44), -(2.0**50)).astype(np.int64) * 2048 - rank[None]
@@ -129,10 +135,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
     dim, n = dims[0]["dim"], dims[0]["n"]
     v = v.where(F.size("vec") == dim)
     drawn = F.pmod(F.xxhash64("id", F.lit("rp")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / n))
-    sample = _matrix(v.where(drawn).select("id", "vec").limit(2 * sample_rows).toArrow().sort_by("id").column("vec"))
+    drawn_rows = v.where(drawn).select("id", "vec").limit(2 * sample_rows).toArrow().sort_by("id")
+    sample, sample_id = _matrix(drawn_rows.column("vec")), drawn_rows.column("id").to_numpy()
     depth = int(np.clip(np.floor(np.log2(max(n / leaf_rows, 2))), 1, min(max_depth, np.log2(max(len(sample) / 8, 2)))))
     forest = Forest(sample if len(sample) else np.zeros((1, dim)), trees, depth)
     bc = spark.sparkContext.broadcast(forest)
+    bc_sample = spark.sparkContext.broadcast((sample, sample_id))  # at most 2 x sample_rows
 
     def place(batches):
         for b in batches:
@@ -143,7 +151,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
 
     placed = v.select("id", "vec").mapInArrow(place, "id long, vec array<double>, leaves array<long>")
     placed_once = materialise(placed, "rp")
-    rows = placed_once.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    rows = placed_once.select("id", "vec", "leaves", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in placed_once.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"], r["leaf"]] = r["count"]
@@ -175,18 +183,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
                 for t in range(trees):
                     r, leaf = np.nonzero(m.priorities(q, t) <= stop[:, None])
                     visits[r, cell[t, leaf]] = True
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(stop), pa.array([np.flatnonzero(x) for x in visits], pa.list_(pa.int64()))], ["query_id", "q", "stop", "cells"])
-
-    queries = v.where("isq").groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(cut, "query_id long, q array<double>, stop double, cells array<long>")
+                # Rows under the 2k-th best of the sample are hardly among the k nearest found.
+                near, near_id = bc_sample.value
+                bound = np.full(len(q), -np.inf)
+                if len(near) > 2 * k:
+                    s = q @ near.T
+                    s[part.column("id").to_numpy()[:, None] == near_id[None]] = -np.inf
+                    _, again = np.unique(near_id, return_index=True)  # an id counts once
+                    s = s[:, again]
+                    if s.shape[1] > 2 * k:
+                        top = -np.partition(-s, 2 * k - 1, 1)[:, 2 * k - 1]
+                        bound = top - 1e-9 * np.maximum(np.abs(s, where=np.isfinite(s), out=np.zeros_like(s)).max(1), 1e-300)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(stop), pa.array(bound), pa.array([np.flatnonzero(x) for x in visits], pa.list_(pa.int64()))], ["query_id", "q", "stop", "bound", "cells"])
+
+    queries = v.where("isq").groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(cut, "query_id long, q array<double>, stop double, bound double, cells array<long>")
     queries = materialise(queries, "rp")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     lut = spark.createDataFrame([(t, leaf, int(cell[t, leaf]), salts.get(int(cell[t, leaf]), 1)) for t in range(trees) for leaf in range(1 << depth)], "tree int, leaf long, cell long, salts int")
     data = rows.join(F.broadcast(lut), ["tree", "leaf"]).select(  # at most trees x 2^max_depth rows
-        "tree", "leaf", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("salts")).cast("long").alias("salt"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        "tree", "leaf", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("salts")).cast("long").alias("salt"), "id", "vec", "leaves", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
     every = lut.select("cell", "salts").distinct()
-    asked = queries.select("query_id", "q", "stop", F.pmod(F.xxhash64("query_id", F.lit("b")), F.lit(blocks)).cast("int").alias("block"), F.explode("cells").alias("cell"))
-    asked = asked.join(F.broadcast(every), "cell").select("query_id", "q", "stop", "cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
+    asked = queries.select("query_id", "q", "stop", "bound", F.pmod(F.xxhash64("query_id", F.lit("b")), F.lit(blocks)).cast("int").alias("block"), F.explode("cells").alias("cell"))
+    asked = asked.join(F.broadcast(every), "cell").select("query_id", "q", "stop", "bound", "cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
     out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -195,14 +214,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
         t = left.column("tree")[0].as_py()
         left = left.sort_by("id")
         x, xid, leaf = _matrix(left.column("vec")), left.column("id").to_numpy(), left.column("leaf").to_numpy()
+        others = np.asarray(left.column("leaves").combine_chunks().flatten()).reshape(len(x), -1)
         ids, scs, qids = [], [], []
         for a in range(0, right.num_rows, 512):
             part = right.slice(a, 512)
             q, qid = _matrix(part.column("q")), part.column("query_id").to_numpy()
-            sel = bc.value.priorities(q, t) <= part.column("stop").to_numpy()[:, None]
+            stop = part.column("stop").to_numpy()[:, None]
+            sel = bc.value.priorities(q, t) <= stop
+            before = [bc.value.priorities(q, e) <= stop for e in range(t)]
             found: list = []
             for b in range(0, len(x), CHUNK):
-                _nearest(q, qid, x[b : b + CHUNK], xid[b : b + CHUNK], sel, leaf[b : b + CHUNK], k, found)
+                _nearest(q, qid, x[b : b + CHUNK], xid[b : b + CHUNK], sel, leaf[b : b + CHUNK], [(m, others[b : b + CHUNK, e]) for e, m in enumerate(before)], k, found)
             r, i, s = (np.concatenate(z) for z in zip(*found))
             order = np.lexsort((i, -s, r))
             r, i, s = r[order], i[order], s[order]
@@ -210,11 +232,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
             new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
             r, i, s = r[new], i[new], s[new]
             first = np.searchsorted(r, r)
-            ok = np.arange(len(r)) - first < k
+            ok = (np.arange(len(r)) - first < k) & (s >= part.column("bound").to_numpy()[r])
             qids.append(qid[r[ok]]), ids.append(i[ok]), scs.append(s[ok])
         return pa.table([np.concatenate(qids), np.concatenate(ids), np.concatenate(scs)], schema=out_schema)
 
-    near = data.groupBy("cell", "salt", "block").cogroup(asked.groupBy("cell", "salt", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    def run(wanted: DataFrame) -> DataFrame:
+        pairs = data.groupBy("cell", "salt", "block").cogroup(wanted.groupBy("cell", "salt", "block"))
+        return materialise(pairs.applyInArrow(rerank, "query_id long, vec_id long, score double"), "rp")
+
+    near = run(asked)
+    have = near.groupBy("query_id").agg(F.countDistinct("vec_id").alias("have"))
+    short = queries.where("bound > double('-Infinity')").select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
+    if short.take(1):
+        again = asked.join(short, "query_id").withColumn("bound", F.lit(float("-inf")))
+        near = near.join(short, "query_id", "left_anti").unionByName(run(again))
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
