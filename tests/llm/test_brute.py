@@ -156,12 +156,14 @@ def test_jaccard(spark, docs):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s[i]), want[i]) for i in s}
 
 
-def test_jaccard_near_threshold(spark):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_near_threshold(spark, monkeypatch, block):
     """Planted families around the threshold, sizes over many bands."""
     import random
 
     from gridloom.llm import jaccard_rtree
 
+    monkeypatch.setattr(jaccard_rtree, "BLOCK", block)
     rng = random.Random(5)
     docs = []
     for f in range(40):
@@ -171,6 +173,8 @@ def test_jaccard_near_threshold(spark):
             for _ in range(rng.randint(0, max(1, len(w) // 25))):
                 w[rng.randrange(len(w))] = f"x{rng.random()}"
             docs.append((len(docs), " ".join(w)))
+    grow = [f"g{k}" for k in range(60)]  # a chain over several bands
+    docs += [(1000 + m, " ".join(grow[:m])) for m in range(12, 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for k, num, den in ((3, 90, 100), (5, 8, 10)):
         want = components(sets(docs, k), num, den)
