@@ -20,8 +20,8 @@ empty parts alone is impossible unless a document has that many empty ones, and
 then are its empty parts compared.
 
 Equal sets are one representative (their smallest id).  Families of more than
-``BLOCK`` representatives are compared block by block, in tasks of two blocks each.  A
-task emits a spanning forest of its links, never all pairs; no link between components
+``BLOCK`` representatives are cut by size band and compared block by block, in tasks of
+two blocks each, so a set travels to two or three tasks.  A task emits a spanning forest of its links, never all pairs; no link between components
 is lost, since a document is only spared the pairs inside its own component.
 
 Edge cases: null, empty or blank text has no shingles and is its own component; fewer
@@ -39,8 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, column, connected_components, lower_ascii, materialise, mix64, partitions, pieces, shingle_hashes, word_hashes, word_spans
 
-GROUPS = 64
+GROUPS = 256
 BLOCK = 2048
+#: Signatures are dealt to this many buckets at least, so that what meets in several of
+#: them grows with the documents alone.
+BUCKETS = 64
+#: Candidates verified in one step.
+CHECKS = 64
 _SIGN = np.int64(np.iinfo(np.int64).min)
 
 
@@ -158,45 +163,85 @@ class RTree:
         for lev in range(len(self.levels) - 1, -1, -1):
             top, lo, hi = self.levels[lev]
             at = at[(lo[at] * num <= size * den) & (hi[at] * den >= size * num)]
-            bound = np.minimum(top[at], point).sum(1, dtype=np.int64)
-            at = at[bound * (den + num) >= num * (size + np.maximum(lo[at], -(-size * num // den)))]
+            bound = np.minimum(top[at], point).sum(1, dtype=np.int32)
+            at = at[bound.astype(np.int64) * (den + num) >= num * (size + np.maximum(lo[at], -(-size * num // den)))]
             if lev:
                 at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
                 at = at[at < len(self.levels[lev - 1][0])]
         return self.order[at]
 
 
-def link_blocks(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between side 0 and side 1 (or within side 0 alone)."""
+def link_blocks(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], within: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between side 0 and side 1 and, if ``within``, inside side 0."""
     n = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(n)), n)
     flat = np.concatenate(sets).view(U64) if len(sets) else np.zeros(0, U64)
-    points = np.bincount(doc * GROUPS + (flat % U64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    start = np.cumsum(n) - n
+    points = np.bincount(doc * GROUPS + (flat % U64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
     root = np.arange(len(n))
     out = []
-    one = bool((side == 0).all())
     base = np.flatnonzero(side == 0)
+    if not len(base):
+        return out
     tree = RTree(points[base], n[base])
-    for q in np.flatnonzero(side == (0 if one else 1)):
+    for q in range(len(n)) if within else np.flatnonzero(side == 1):
         found = base[tree.search(points[q], int(n[q]), num, den)]
-        found = found[found > q] if one else found
+        if side[q] == 0:
+            found = found[found > q]
         found = found[root[found] != root[q]]
         while len(found):
-            c = found[0]
-            both = len(np.intersect1d(sets[q], sets[c], assume_unique=True))
-            if both * (den + num) >= num * (n[q] + n[c]):
-                out.append((int(ids[q]), int(ids[c])))
-                root[root == root[c]] = root[q]
-                found = found[root[found] != root[q]]
-            else:
-                found = found[1:]
+            # A few candidates at a time: the first link spares the rest of its component.
+            some = found[:CHECKS]
+            size = n[some]
+            at = np.repeat(start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            x = flat[at]
+            own = flat[start[q] : start[q] + n[q]]
+            hit = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+            both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+            for c in some[both * (den + num) >= num * (n[q] + size)]:
+                if root[c] != root[q]:
+                    out.append((int(ids[q]), int(ids[c])))
+                    root[root == root[c]] = root[q]
+            found = found[CHECKS:]
+            found = found[root[found] != root[q]]
     return out
 
 
+def tasks_of(families: DataFrame, low: list[int]) -> DataFrame:
+    """(id, component, n) -> id, component, kind, band, lo, hi, side, within: the tasks that
+    a representative takes part in.
+
+    A family of up to BLOCK is one task.  A larger one is cut by size band, since linked
+    sets are of one band or of neighbours, and a band into blocks of about BLOCK: every
+    block meets the blocks of its own band and of the next.
+    """
+    band = F.size(F.filter(F.array(*map(F.lit, low)), lambda x: x <= F.col("n"))) - 1
+    f = families.select("id", "component", band.alias("band"))
+    sizes = f.groupBy("component", "band").agg(F.count("*").alias("c"))
+    total = sizes.groupBy("component").agg(F.sum("c").alias("m"))
+    blocks = sizes.select("component", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))
+    plan = blocks.join(total, "component")
+    for name, step in (("up", 1), ("down", -1)):
+        plan = plan.join(blocks.select("component", (F.col("band") - step).alias("band"), F.col("k").alias(name)), ["component", "band"], "left")
+    d = f.join(plan, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    zero = F.lit(0)
+
+    def task(kind, band, lo, hi, side, within):
+        return F.struct(F.lit(kind).alias("kind"), band.cast("int").alias("band"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"), within.alias("within"))
+
+    alone = F.array(task(0, zero, zero, zero, 0, F.lit(True)))
+    lower = F.transform(F.sequence(zero, F.greatest(F.coalesce("up", zero), F.lit(1)) - 1), lambda j: task(1, F.col("band"), F.col("own"), j, 0, (F.col("k") == 1) & (j == 0)))
+    upper = F.when(F.col("down") > 0, F.transform(F.sequence(zero, F.col("down") - 1), lambda i: task(1, F.col("band") - 1, i, F.col("own"), 1, (F.col("down") == 1) & (F.col("own") == 0)))).otherwise(F.array().cast("array<struct<kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"))
+    same = F.when(F.col("k") > 1, F.transform(F.sequence(zero, F.col("k") - 1), lambda o: task(2, F.col("band"), F.least("own", o), F.greatest("own", o), F.when(F.col("own") <= o, 0).otherwise(1), F.col("own") == o))).otherwise(F.array().cast("array<struct<kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"))
+    every = F.when(F.col("m") <= BLOCK, alone).otherwise(F.concat(lower, upper, same))
+    return d.select("id", "component", F.explode(every).alias("x")).select("id", "component", "x.*")
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for similarity num / den on k-word shingles."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = max(BUCKETS, partitions(spark))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def sets_of(batches):
@@ -257,35 +302,35 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
     for side in ("a", "b"):
         e = e.join(rep_of.select(F.col("id").alias(side), F.col("rep").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
     families = materialise(connected_components(e.where("a <> b")), "fam")
-    sizes = families.groupBy("component").agg(F.count("*").alias("m"))
-    placed = families.join(sizes, "component").select("id", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    bands = Bands(num, den)
+    bands.of(np.array([filled.agg(F.max("n")).first()[0] or 1]))
+    places = tasks_of(families.join(reps.select(F.col("rep").alias("id"), "n"), "id"), bands.low)
 
     def with_sets(batches):
         for b in batches:
             for i, j, h, n in _scan(b, k):
                 at = np.r_[0, np.cumsum(n)].astype(np.int32)
-                part = b.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("blocks"), part.column("own"), part.column("id"), lists], ["component", "blocks", "own", "id", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("tasks").slice(i, j - i), lists], ["id", "tasks", "set"])
 
-    texts = d.join(placed, "id").mapInArrow(with_sets, "component long, blocks int, own int, id long, set array<long>").where("size(set) > 0")
-    # Block b meets every block: the task of (lower, upper).
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "set"
-    )
-    spread = spread.withColumn("bucket", F.when(F.col("hi") + F.col("lo") == 0, F.pmod(F.xxhash64("component"), F.lit(4 * buckets))).otherwise(F.xxhash64("component", "lo", "hi")))
+    task_type = "array<struct<component:bigint,kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"
+    packed_tasks = places.groupBy("id").agg(F.collect_list(F.struct("component", "kind", "band", "lo", "hi", "side", "within")).alias("tasks"))
+    texts = d.join(packed_tasks.hint("merge"), "id").select("id", "tasks", "text").mapInArrow(with_sets, f"id long, tasks {task_type}, set array<long>").where("size(set) > 0")
+    spread = texts.select("id", "set", F.explode("tasks").alias("t")).select("t.*", "id", "set")
+    spread = spread.withColumn("bucket", F.when(F.col("kind") == 0, F.pmod(F.xxhash64("component"), F.lit(4 * buckets))).otherwise(F.xxhash64("component", "kind", "band", "lo", "hi")))
 
     def verify(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("component", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("id", "ascending")])
-        comp, lo, hi = (t.column(c).to_numpy() for c in ("component", "lo", "hi"))
+        names = ("component", "kind", "band", "lo", "hi")
+        t = t.sort_by([(c, "ascending") for c in (*names, "id")])
+        key = np.stack([t.column(c).to_numpy() for c in names])
         ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
         lists = t.column("set").combine_chunks()
         off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        cut = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        within = t.column("within").to_numpy()
+        cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
         pairs: list = []
-        for a, z in zip(cut, np.r_[cut[1:], len(comp)]):
-            pairs += link_blocks(ids[a:z], side[a:z], [flat[off[r] : off[r + 1]].view(U64) for r in range(a, z)], num, den)
+        for a, z in zip(cut, np.r_[cut[1:], key.shape[1]]):
+            pairs += link_blocks(ids[a:z], side[a:z], [flat[off[r] : off[r + 1]].view(U64) for r in range(a, z)], bool(within[a:z].any()), num, den)
         arr = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.table([arr[:, 0], arr[:, 1]], names=["a", "b"])
 
