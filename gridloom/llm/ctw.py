@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, column, lower_ascii, materialise, mix64, partitions, pieces, word_hashes, word_spans
 
-DEPTH = 5
+DEPTH = 6
 BLOCK_BYTES = 24 << 20
 END_TOKEN = 0  # a token hash of its own; word hashes are odd
 _LN2 = math.log(2.0)
 
 
 def grams(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (4 context bytes, byte) of every byte and end, and their number per document."""
+    """Codes (DEPTH context bytes, byte) of every byte and end, and their number per document."""
     n = np.diff(offs)
     m = n + 1
     at = np.cumsum(m + DEPTH) - (m + DEPTH)

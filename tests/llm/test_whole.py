@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from gridloom.llm import lsa_decontam
+from gridloom.llm import ctw, lsa_decontam
 
 
 def test_frequent_leaks_are_reported(spark):
@@ -26,3 +26,15 @@ def test_frequent_leaks_are_reported(spark):
         assert i % 3 == 0 or i == 2 or set(got[i]) == want
     two = docs.where("doc_id in (0, 3) or doc_id > 4 and doc_id % 3 > 0").limit(14)  # a leak in a few of 20-39 passages
     assert {r["doc_id"] for r in lsa_decontam.decontaminate(two, items).where("array_contains(items, 1)").collect()} == {0, 3}
+
+
+def test_contexts_of_six_bytes_are_learned(spark):
+    """The sixth byte back decides the next one, and the five between never do."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        first = [rng.choice("xy") for _ in range(200)]
+        rows.append((i, "".join(c + "-----" + ("0" if c == "x" else "1") for c in first)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = [r["bits_per_byte"] for r in ctw.score(docs).where("held_out").collect()]
+    assert bits and max(bits) < 0.2  # 1/7 for the random byte of each seven; another 1/7 if the decided one is not learned
