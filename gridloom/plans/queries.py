@@ -602,10 +602,7 @@ def medoids(c):
 
 @query()
 def hac_threshold(c):
-    e = c.embeddings.where("vec_id < 200").select("label", "vec_id", F.posexplode("embedding").alias("i", "x"))
-    a, b = e.select("label", F.col("vec_id").alias("a"), "i", "x"), e.select("label", F.col("vec_id").alias("b"), "i", F.col("x").alias("y"))
-    p = a.join(b, ["label", "i"]).where("a < b").groupBy("label", "a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("dist"))
-    return clustering.hac(p, ["label"], 1.35)
+    return clustering.hac_points(c.embeddings, "label", "vec_id", "embedding", 1.35)
 
 
 @query()
