@@ -28,14 +28,17 @@ def cells(x, y, size: float):
 
 def within_radius(a: DataFrame, b: DataFrame, km: float, size_deg: float = 1.0) -> DataFrame:
     """Pairs (a_id, b_id, km) up to a distance: an equi-join on grid cells, b in the cells
-    that the radius can reach."""
+    that the radius can reach, across the date line and the poles too."""
     reach = int(np.ceil(km / 111.0 / size_deg))
-    ax, ay = cells(F.col("x"), F.col("y"), size_deg)
+    around = int(np.ceil(360 / size_deg))  # the last column is narrower if the size does not divide 360
+    ax, ay = cells(F.pmod(F.col("x"), F.lit(360.0)), F.col("y"), size_deg)
+    ax = F.pmod(ax, F.lit(around))
     left = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), ax.alias("cx"), ay.alias("cy"))
-    bx, by = cells(F.col("x"), F.col("y"), size_deg)
-    wide = F.ceil(reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("y")) + reach * size_deg, F.lit(89.0)))), F.lit(0.02))).cast("long")
+    bx, by = cells(F.pmod(F.col("x"), F.lit(360.0)), F.col("y"), size_deg)
+    wide = F.ceil(reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("y")) + reach * size_deg, F.lit(89.0)))), F.lit(0.02))).cast("long") + int(around * size_deg != 360)
+    wide = F.when(F.abs(F.col("y")) + reach * size_deg >= 88, F.lit(around)).otherwise(F.least(wide, F.lit(around)))
     right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), bx.alias("gx"), by.alias("gy"), wide.alias("w"))
-    right = right.withColumn("cx", F.explode(F.expr("sequence(gx - w, gx + w)"))).withColumn("cy", F.explode(F.expr(f"sequence(gy - {reach}L, gy + {reach}L)")))
+    right = right.withColumn("cx", F.explode(F.expr(f"array_distinct(transform(sequence(gx - w, gx + w), g -> pmod(g, {around})))"))).withColumn("cy", F.explode(F.expr(f"sequence(gy - {reach}L, gy + {reach}L)")))
     d = haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return left.join(right, ["cx", "cy"]).select("a_id", "b_id", d.alias("km")).where(F.col("km") <= km)
 
