@@ -8,8 +8,8 @@ frozen tree then predicts: p_s = w_s KT_s + (1 - w_s) p_child, an unseen node gi
 Texts are ASCII-lowered, preceded and ended by the byte 0xFF (never part of UTF-8), so
 the probabilities of all texts sum to one.
 
-Distribution.  Texts are dealt to blocks of about ``BLOCK_BYTES`` by a hash of doc_id.
-A block yields its distinct (context, byte) grams and tokens with their training counts, in
+Distribution.  Texts are dealt, compressed, to blocks of about ``BLOCK_BYTES`` by a hash
+of doc_id; scores do not depend on the number of blocks.  A block yields its distinct (context, byte) grams and tokens with their training counts, in
 packed columns; counts are summed over blocks; grams are dealt by the two nearest context bytes,
 so that each such subtree is weighted in one task.  The
 depths 0 and 1 above, at most 65,280 nodes, are summed and broadcast.  Each block then
@@ -271,14 +271,42 @@ def fold(doc_id, mod: int = 7, keep: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == keep
 
 
+def _deal(batches):
+    """Rows (block, ids, held, sizes, texts): the documents of a batch that go to one block, compressed."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for b in batches:
+        buf, offs = as_bytes(column(b, "text"))
+        ids, held, block = column(b, "doc_id"), column(b, "held"), column(b, "block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+        ends = np.r_[cut[1:], len(order)].astype(np.int64)
+        data, sizes = [], []
+        for x, y in zip(cut, ends):
+            r = order[x:y]
+            sizes.append((offs[r + 1] - offs[r]).astype(np.int64).tobytes())
+            raw = b"".join([buf[offs[i] : offs[i + 1]].tobytes() for i in r])
+            data.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+        at = pa.array(np.r_[cut, len(order)].astype(np.int32))
+        take = pa.array(order)
+        lists = [pa.ListArray.from_arrays(at, c.take(take)) if len(order) else pa.array([], pa.list_(c.type)) for c in (ids, held)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][cut]), *lists, pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], ["block", "ids", "held", "sizes", "texts"])
+
+
+def _dealt(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(bytes, offsets, ids, held) of a block's documents."""
+    raw = [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in t.column("texts").to_pylist()]
+    size = np.frombuffer(b"".join(t.column("sizes").to_pylist()), np.int64)
+    ids, held = t.column("ids").combine_chunks().flatten(), t.column("held").combine_chunks().flatten()
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum(size)], ids, held.to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _block_counts(t: pa.Table, buckets: int) -> pa.Table:
-    buf, offs = as_bytes(t.column("text"))
-    held = t.column("held").to_numpy(zero_copy_only=False) if isinstance(t.column("held"), pa.Array) else t.column("held").combine_chunks().to_numpy(zero_copy_only=False)
+    buf, offs, _, held = _dealt(t)
     block = t.column("block")[0].as_py()
     grams_, tokens_ = [], []
     for i, j in pieces(offs):
         low, o = lower_ascii(buf[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
-        learn = ~held[i:j].astype(bool)
+        learn = ~held[i:j]
         for make, into in ((grams, grams_), (tokens, tokens_)):
             code, n = make(low, o)
             into.append(_count(code, np.repeat(learn, n)))
@@ -306,7 +334,9 @@ def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(partitions(spark), size >> 20))
     d = d.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.length("text")), F.lit(blocks)))
-    buckets = max(64, partitions(spark))
+    buckets = max(64, partitions(spark), size >> 27)
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    d = d.mapInArrow(_deal, f"block long, ids array<{id_type}>, held array<boolean>, sizes binary, texts binary")
     counts = materialise(d.groupBy("block").applyInArrow(lambda t: _block_counts(t, buckets), "block long, kind int, bucket long, keys binary, vals binary"), "ctw")
 
     def sum_tokens(t: pa.Table) -> pa.Table:
@@ -324,13 +354,13 @@ def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
 
     def evaluate(t: pa.Table) -> pa.Table:
         key, cnt, own = _bucket_keys(t)
-        return _answers(t, own, key, log_probs(key.view(U64), cnt, bc.value).astype(np.float32).astype(np.float64))
+        return _answers(t, own, key, log_probs(key.view(U64), cnt, bc.value))
 
     known = counts.where("kind = 0").groupBy("bucket").applyInArrow(evaluate, ANSWERS)
     values = words.select("block", "kind", "keys", "vals").unionByName(known.select("block", "kind", "keys", "vals"))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        buf, offs = as_bytes(left.column("text"))
+        buf, offs, ids, held = _dealt(left)
         kind, keys, vals = (right.column(c).to_pylist() for c in ("kind", "keys", "vals"))
         gram, tok = (
             Table(np.concatenate([unpack(k, np.int64, True) for k, x in zip(keys, kind) if x == want]), np.concatenate([unpack(v, np.float64) for v, x in zip(vals, kind) if x == want]))
@@ -348,8 +378,7 @@ def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
             cols.append((m, np.add.reduceat((c > 0).astype(np.int64), first), base, lp, n - 1))
         m, k, base, lp, n = (np.concatenate(x) for x in zip(*cols))
         bits = -lp / math.log10(2) / np.maximum(n, 1)
-        return pa.table([left.column("doc_id"), left.column("held"), m, k, np.full(len(m), total, np.int64), base, lp, n, bits], names=[x.split()[0] for x in schema.split(", ")])
+        return pa.table([ids, held, m, k, np.full(len(m), total, np.int64), base, lp, n, bits], names=[x.split()[0] for x in schema.split(", ")])
 
-    id_type = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return d.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(apply, schema)
