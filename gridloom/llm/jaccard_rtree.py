@@ -241,7 +241,6 @@ def tasks_of(families: DataFrame, low: list[int]) -> DataFrame:
 def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for similarity num / den on k-word shingles."""
     spark = docs.sparkSession
-    buckets = max(BUCKETS, partitions(spark))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def sets_of(batches):
@@ -253,6 +252,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
 
     every = materialise(d.mapInArrow(sets_of, "id long, n long, x long, y long"), "sets")
     filled = every.where("n > 0 AND id IS NOT NULL")
+    total = filled.agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    # Buckets and tasks by the number of shingles, so that neither grows with the input.
+    buckets = max(BUCKETS, partitions(spark), (total["all"] or 0) >> 21)
+    tasks = max(partitions(spark), (total["all"] or 0) >> 22)
     reps = filled.groupBy("n", "x", "y").agg(F.min("id").alias("rep"))
 
     def sigs_of(batches):
@@ -261,9 +264,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
         for b in batches:
             ids = column(b, "id").to_numpy()
             for i, _, h, n in _scan(b, k):
-                x, _y = _set_hash(h, n)
                 new = np.zeros(len(n), bool)
-                for r, v in enumerate(x.tolist()):
+                for r, v in enumerate(zip(n.tolist(), *(z.tolist() for z in _set_hash(h, n)))):
                     if v not in seen:
                         new[r] = True
                         if len(seen) < 1 << 20:
@@ -294,7 +296,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
         pair = np.unique(np.stack([doc[doc != least], least[doc != least]], 1), axis=0) if len(sig) else np.zeros((0, 2), np.int64)
         return pa.table([pair[:, 0], pair[:, 1]], names=["a", "b"])
 
-    shared = packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    shared = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
     # Copies of one set meet too; what matters are pairs of different sets.
     rep_of = filled.join(reps, ["n", "x", "y"]).where("id <> rep").select("id", "rep")
     rep_of = materialise(rep_of.groupBy("id").agg(F.min("rep").alias("rep")), "rep")
@@ -303,7 +305,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
         e = e.join(rep_of.select(F.col("id").alias(side), F.col("rep").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
     families = materialise(connected_components(e.where("a <> b")), "fam")
     bands = Bands(num, den)
-    bands.of(np.array([filled.agg(F.max("n")).first()[0] or 1]))
+    bands.of(np.array([total["top"] or 1]))
     places = tasks_of(families.join(reps.select(F.col("rep").alias("id"), "n"), "id"), bands.low)
 
     def with_sets(batches):
@@ -334,7 +336,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
         arr = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.table([arr[:, 0], arr[:, 1]], names=["a", "b"])
 
-    links = spread.groupBy("bucket").applyInArrow(verify, "a long, b long").where("a <> b")
+    links = spread.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(verify, "a long, b long").where("a <> b")
     comps = connected_components(links.unionByName(_same_id(filled, reps)))
     rep_comp = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("c"))
     got = every.join(rep_comp, ["n", "x", "y"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("c"))

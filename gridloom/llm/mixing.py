@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,8 +54,8 @@ def levels(sizes: DataFrame, cycle=(5.0, 2.0, 1.0), budget: float = 1.5, epochs:
 
 
 def mix(docs: DataFrame, keep: list[str], seed: int = 7, cycle=(5.0, 2.0, 1.0), budget: float = 1.5, epochs: float = 2.0, bucket_hex: int = 3) -> DataFrame:
-    """``keep`` columns of ``docs`` with size, source_size, target, repeats (whole
-    repetitions), part_words (words of one more, partial repetition) and taken.
+    """``keep`` columns of ``docs`` with size, source_size, target, taken, repeats (whole
+    repetitions) and part_words (words of one more, partial repetition).
 
     Documents of a source are ordered by a seeded digest.  A fractional repetition
     takes whole documents in this order and, at the end, part of one, so a source's
@@ -68,6 +70,8 @@ def mix(docs: DataFrame, keep: list[str], seed: int = 7, cycle=(5.0, 2.0, 1.0),
         words(F.col("text")).alias("_size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))).alias("_key"),
     ).withColumn("_bucket", F.substring("_key", 1, bucket_hex))
+    if "text" not in keep:  # a slim table: written once, so that texts are read and counted once
+        d = materialise(d, "mix")
     buckets = d.groupBy("_source", "_null", "_bucket").agg(F.sum("_size").alias("_bsize"))
     by_bucket = W.partitionBy("_source", "_null").orderBy("_bucket")
     ahead = buckets.select(
@@ -87,12 +91,29 @@ def mix(docs: DataFrame, keep: list[str], seed: int = 7, cycle=(5.0, 2.0, 1.0),
         F.col("_size").alias("size"),
         F.col("_total").alias("source_size"),
         F.col("_target").alias("target"),
+        (F.col("_whole") * F.col("_size") + F.col("_part")).alias("taken"),
         F.col("_whole").alias("repeats"),
         F.col("_part").alias("part_words"),
-        (F.col("_whole") * F.col("_size") + F.col("_part")).alias("taken"),
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def repetitions(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """``mix``'s rows as the mix itself: ``columns``, repetition (from 1) and taken, one row
+    per whole or partial repetition; the text of a partial one ends with its last word taken.
+    Documents that the mix does not take have no row."""
+    n = F.col("repeats") + (F.col("part_words") > 0).cast("long")
+    d = mixed.where(n > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    partial = F.col("repetition") > F.col("repeats")
+    own = F.when(partial, F.col("part_words")).otherwise(F.col("size"))
+    text = F.when(partial & (F.col("part_words") < F.col("size")), first_words(F.col("text"), F.col("part_words"))).otherwise(F.col("text"))
+    return d.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], F.col("repetition").cast("int").alias("repetition"), own.alias("taken"))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i in {0, 1} for the
-presence of a term's hash bucket; the pairwise part learns combinations (an insult with
+score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i the relevance of a term's
+hash bucket if the text holds it, else 0; the pairwise part learns combinations (an insult with
 a group mention) that additive weights miss.
 
-Counts of documents by bucket and label cover every training row; they pick the model's
-terms (those whose label-conditional document rates differ most).  The weights are then
-fitted on a sample of ``max_rows`` expected labelled rows, drawn by a seeded hash of
-doc_id, so that a rerun takes the same.
+Counts of documents by bucket and label cover every training row.  A bucket's relevance is
+c / (c + ``SOFT``), c the chi-squared statistic between label and presence: near 1 for telling
+terms, some hundredths for others, 0 for a bucket that no training row holds.  Every one of
+the 2^``BITS`` buckets has its own weights (8 factors and a linear one, with the relevance
+21 MB in all), so no term is left out.  The weights are fitted on a sample of ``max_rows``
+expected labelled rows, drawn by a seeded hash of doc_id, so that a rerun takes the same.
 
 Edge cases: null or empty text has no terms and scores the model's bias; rows with a
 null label are not learned from; several labels of one doc_id: toxic if any is; without
@@ -26,6 +28,7 @@ from .common import U64, as_bytes, column, fold_words, materialise, mix64, piece
 
 BITS = 18
 THRESHOLD = 0.3
+SOFT = 30.0
 #: Word beginnings of so many bytes are terms as well: they carry over to unseen compounds.
 PREFIXES = (5, 7)
 
@@ -100,115 +103,110 @@ def term_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def select_terms(counts, terms: int = 2048, least: int = 3) -> np.ndarray:
-    """Buckets with the largest chi-squared-like statistic between label and presence."""
-    b, n, t = (np.array([r[c] for r in counts], np.float64) for c in ("bucket", "n", "toxic"))
-    if not (b == -1).any():
-        return np.zeros(0, np.int64)
-    docs, tox = n[b == -1][0], t[b == -1][0]
-    ok = (b >= 0) & (n >= least)
-    b, n, t = b[ok], n[ok], t[ok]
-    expect = n * tox / max(docs, 1)
-    stat = (t - expect) ** 2 / np.maximum(expect * (1 - n / max(docs, 1)), 1e-9)
-    best = np.lexsort((b, -stat))[:terms]
-    return np.sort(b[best].astype(np.int64))
+def relevance(counts, bits: int = BITS) -> tuple[np.ndarray, int]:
+    """(each bucket's relevance, training rows)."""
+    n, tox = np.zeros(1 << bits), np.zeros(1 << bits)
+    docs = toxic = 0
+    for r in counts:
+        if r["bucket"] < 0:
+            docs, toxic = r["n"], r["toxic"]
+        else:
+            n[r["bucket"]], tox[r["bucket"]] = r["n"], r["toxic"]
+    share = toxic / max(docs, 1)
+    spread = n * share * (1 - share) * (1 - n / max(docs, 1))
+    stat = (tox - n * share) ** 2 / np.maximum(spread, 1e-9)
+    return np.where(n > 0, stat / (stat + SOFT), 0.0), docs
 
 
 class Machine:
-    """Weights over the selected terms; index -1 (unselected) has none."""
+    """Weights of all hash buckets and their relevance."""
 
-    def __init__(self, terms: np.ndarray, bits: int = BITS, factors: int = 8, seed: int = 1):
+    def __init__(self, x: np.ndarray, factors: int = 8, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.bits, self.terms = bits, terms
-        self.w0, self.w = 0.0, np.zeros(len(terms))
-        self.v = rng.normal(0, 0.05, (len(terms), factors))
-
-    def index(self) -> np.ndarray:
-        lut = np.full(1 << self.bits, -1, np.int64)
-        lut[self.terms] = np.arange(len(self.terms))
-        return lut
-
-    def raw(self, doc: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of n documents before the sigmoid, and their factor sums."""
-        k = self.v.shape[1]
-        lin = np.bincount(doc, weights=self.w[term], minlength=n)
-        s = np.stack([np.bincount(doc, weights=self.v[term, f], minlength=n) for f in range(k)], 1) if len(doc) else np.zeros((n, k))
-        sq = np.bincount(doc, weights=(self.v[term] ** 2).sum(1), minlength=n) if len(doc) else np.zeros(n)
-        return self.w0 + lin + 0.5 * ((s**2).sum(1) - sq), s
-
-    def fit(self, doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 512, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
-        """Logistic loss, AdaGrad over minibatches; (doc, term) sorted by doc."""
+        self.x, self.w0, self.w = x, 0.0, np.zeros(len(x))
+        self.v = rng.normal(0, 0.05, (len(x), factors))
+
+    def raw(self, at: np.ndarray, term: np.ndarray, own: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores before the sigmoid of the documents whose terms are term[at[i]:at[i + 1]], and
+        their factor sums; ``own``: the (x, w, v) that ``term`` points into."""
+        x, w, v = own or (self.x, self.w, self.v)
+        some = np.flatnonzero(np.diff(at))
+        z, s = np.full(len(at) - 1, self.w0), np.zeros((len(at) - 1, v.shape[1]))
+        if len(some):
+            part = v[term] * x[term, None]
+            s[some] = np.add.reduceat(part, at[some], axis=0)
+            z[some] += np.add.reduceat((w * x)[term] - 0.5 * np.einsum("ij,ij->i", part, part), at[some])
+            z += 0.5 * np.einsum("ij,ij->i", s, s)
+        return z, s
+
+    def fit(self, at: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 512, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
+        """Logistic loss, AdaGrad over minibatches that touch only the weights of their own terms."""
         rng, n = np.random.default_rng(seed), len(y)
         share = (y.sum() + 1) / (n + 2)
         self.w0 = float(np.log(share / (1 - share)))
-        if not len(self.terms) or y.min(initial=1) == y.max(initial=0):
+        if y.min(initial=1) == y.max(initial=0):
             return
-        at = np.searchsorted(doc, np.arange(n + 1))
         gw, gv, g0 = np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8), 1e-8
         for _ in range(epochs):
             order = rng.permutation(n)
             for lo in range(0, n, batch):
                 rows = order[lo : lo + batch]
                 size = at[rows + 1] - at[rows]
-                d = np.repeat(np.arange(len(rows)), size)
-                t = term[np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[rows], size)]
-                z, s = self.raw(d, t, len(rows))
+                ends = np.r_[0, np.cumsum(size)]
+                t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(at[rows], size)]
+                use, ix = np.unique(t, return_inverse=True)
+                x, w, v = self.x[use], self.w[use], self.v[use]
+                z, s = self.raw(ends, ix, (x, w, v))
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-                dw = np.bincount(t, weights=err[d], minlength=len(self.w)) + l2 * self.w
-                ev = err[d][:, None] * (s[d] - self.v[t])
-                dv = np.stack([np.bincount(t, weights=ev[:, f], minlength=len(self.w)) for f in range(self.v.shape[1])], 1) + l2 * self.v
-                gw, gv, g0 = gw + dw**2, gv + dv**2, g0 + err.sum() ** 2
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= rate * dv / np.sqrt(gv)
+                if len(use):
+                    d = np.repeat(np.arange(len(rows)), size)
+                    by = np.argsort(ix, kind="stable")
+                    cut = np.searchsorted(ix[by], np.arange(len(use)))
+                    e = err[d]
+                    # The derivative by v_t is x_t (the document's factor sum less x_t v_t).
+                    total = np.add.reduceat(e[by], cut) * x
+                    dw = total + l2 * w
+                    dv = np.add.reduceat((e[:, None] * s[d])[by], cut, axis=0) * x[:, None] - (total * x)[:, None] * v + l2 * v
+                    gw[use] += dw**2
+                    gv[use] += dv**2
+                    self.w[use] = w - rate * dw / np.sqrt(gw[use])
+                    self.v[use] = v - rate * dv / np.sqrt(gv[use])
+                g0 += err.sum() ** 2
                 self.w0 -= rate * err.sum() / np.sqrt(g0)
 
 
-def train(docs: DataFrame, labels: DataFrame, terms: int = 2048, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
     """A machine fitted on rows outside the fold ``crc32(doc_id) mod mod = keep``.
 
-    To the driver come at most 2^BITS counts and the selected terms of max_rows rows.
+    To the driver come at most 2^BITS counts and the terms of max_rows expected rows, some
+    300 of 4 bytes a row.
     """
     rows = materialise(training_rows(docs, labels, mod, keep), "tox")
-    counts = term_counts(rows).collect()
-    chosen = select_terms(counts, terms)
-    total = max((r["n"] for r in counts if r["bucket"] == -1), default=0)
-    lut = Machine(chosen, factors=factors).index()
+    x, total = relevance(term_counts(rows).collect())
     # A seeded share of the rows, so that max_rows are expected at most and no sort is needed.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fm")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))
     sample = rows.where(drawn).select("terms", "toxic", F.md5(F.concat_ws(":", F.col("doc_id"), F.col("terms").cast("string"))).alias("k"))
-
-    def pick(batches):
-        for b in batches:
-            lists = column(b, "terms")
-            ix = lut[lists.flatten().to_numpy()]
-            own = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[ix >= 0]
-            at = np.searchsorted(own, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "toxic"), pa.ListArray.from_arrays(pa.array(at), pa.array(ix[ix >= 0].astype(np.int32)))], ["k", "toxic", "terms"])
-
-    got = sample.mapInArrow(pick, "k string, toxic int, terms array<int>").toArrow().sort_by("k")
+    got = sample.toArrow().sort_by("k")
     y = got.column("toxic").to_numpy().astype(np.float64)
     lists = got.column("terms").combine_chunks()
-    n = np.diff(lists.offsets.to_numpy()) if len(y) else np.zeros(0, np.int64)
-    m = Machine(chosen, factors=factors)
-    m.fit(np.repeat(np.arange(len(y)), n), lists.flatten().to_numpy().astype(np.int64) if len(y) else np.zeros(0, np.int64), y)
+    m = Machine(x, factors)
+    if len(y):
+        m.fit(np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), lists.flatten().to_numpy().astype(np.int64), y)
     return m
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """``keep`` columns and score of every document; one pass over whole texts."""
-    bc = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed: terms x (factors + 1) weights
+    bc = docs.sparkSession.sparkContext.broadcast(machine)  # of a fixed size: 2^BITS x (factors + 2) numbers
     schema = docs.select(*keep).schema.add("score", "double")
     src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
 
     def run(batches):
         m = bc.value
-        lut = m.index()
         for b in batches:
             z = np.full(b.num_rows, m.w0)
             for i, j, d, t in _terms_of(b):
-                ix = lut[t]
-                ok = ix >= 0
-                z[i:j] = m.raw(d[ok], ix[ok], j - i)[0]
+                z[i:j] = m.raw(np.searchsorted(d, np.arange(j - i + 1)), t)[0]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(p)], names=[f.name for f in schema])
 
