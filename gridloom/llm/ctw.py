@@ -10,10 +10,11 @@ the probabilities of all texts sum to one.
 
 Distribution.  Texts are dealt, compressed, to blocks of about ``BLOCK_BYTES`` by a hash
 of doc_id; scores do not depend on the number of blocks.  A block yields its distinct (context, byte) grams and tokens with their training counts, in
-packed columns; counts are summed over blocks; grams are dealt by the two nearest context bytes,
-so that each such subtree is weighted in one task.  The
+packed columns; grams are dealt by the two nearest context bytes, so that each such subtree
+is weighted in one task, and what meets there is written once with its summed counts.  The
 depths 0 and 1 above, at most 65,280 nodes, are summed and broadcast.  Each block then
-gets back the log-probabilities of just its own grams and the counts of its own tokens.
+gets back the log-probabilities of just its own grams and the counts of its own tokens, in
+the order of its keys, which it works out again from its texts.
 
 Edge cases: null text is empty and is one end token; null doc_id counts as the empty
 string in the fold; repeated rows are learned and scored each; an empty table, or one
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import U64, as_bytes, column, lower_ascii, materialise, mix64, partitions, pieces, word_hashes, word_spans
 
 DEPTH = 6
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: log10 probabilities travel as multiples of 2^-40, below the error of the log-gamma series.
+FINE = 2.0**40
 END_TOKEN = 0  # a token hash of its own; word hashes are odd
 _LN2 = math.log(2.0)
 
@@ -224,35 +227,41 @@ def unpack(data: bytes, dtype, delta: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if delta else x
 
 
-def _bucket_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of all blocks with their summed counts, and each block's keys."""
-    own = [unpack(x, np.int64, True) for x in t.column("keys").to_pylist()]
-    cnt = [unpack(x, np.int64) for x in t.column("vals").to_pylist()]
-    key, total = _merge([(k, c) for k, c in zip(own, cnt)])
-    return key, total, own
+def _stats(key: np.ndarray, cnt: np.ndarray) -> list[np.ndarray]:
+    """near, pid, a, b, lw of the nodes at depth 2, summed by nearest byte and prefix."""
+    out = []
+    for j in range(8):
+        s = Subtree(key.view(U64), cnt, j)
+        pid, near = (s.key & U64(0xFF)).astype(np.int64), (s.key >> U64(16)).astype(np.int64)
+        u, inv = np.unique(near << 8 | pid, return_inverse=True)
+        out.append((u >> 8, u & 0xFF, np.bincount(inv, s.a), np.bincount(inv, s.b), np.bincount(inv, s.lw)))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
-def _answers(t: pa.Table, own: list[np.ndarray], key: np.ndarray, value: np.ndarray, stats: tuple = (0, 0)) -> pa.Table:
-    """Each block's keys with their values, as they were asked for."""
-    vals = [pack(value[np.searchsorted(key, k)]) for k in own]
-    n = t.num_rows
-    return pa.table([t.column("block"), t.column("kind"), t.column("keys"), pa.array(vals, pa.binary()), pa.array([stats[0], *[0] * (n - 1)]), pa.array([stats[1], *[0] * (n - 1)])], names=["block", "kind", "keys", "vals", "n", "v"])
+GATHERED = "kind int, bucket long, blocks array<long>, keys array<binary>, counts binary, n long, v long, near array<long>, pid array<long>, a array<double>, b array<double>, lw array<double>"
 
 
-ANSWERS = "block long, kind int, keys binary, vals binary, n long, v long"
+def gather(t: pa.Table) -> pa.Table:
+    """One row for a bucket: its blocks' keys as they came, the summed counts of the distinct
+    keys in order, and for grams the sums that depths 0 and 1 need."""
+    kind, packed = t.column("kind")[0].as_py(), t.column("keys").to_pylist()
+    key, cnt = _merge([(unpack(k, np.int64, True), unpack(c, np.int64)) for k, c in zip(packed, t.column("vals").to_pylist())])
+    stats = _stats(key, cnt) if kind == 0 else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 3
+    cols = [kind, t.column("bucket")[0].as_py(), t.column("block").to_pylist(), packed, pack(cnt.astype(np.int64)), int(cnt.sum()), int((cnt > 0).sum()), *stats]
+    types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.float64())] * 3]
+    return pa.table([pa.array([c], x) for c, x in zip(cols, types)], names=[x.split()[0] for x in GATHERED.split(", ")])
 
 
-def summarise(t: pa.Table) -> pa.Table:
-    key, cnt, _ = _bucket_keys(t)
-    code = key.view(U64)
-    out = []
-    for j in range(8):
-        s = Subtree(code, cnt, j)
-        pid, near = (s.key & U64(0xFF)).astype(np.int64), (s.key >> U64(16)).astype(np.int64)
-        u, inv = np.unique(near << 8 | pid, return_inverse=True)
-        out.append((u >> 8, u & 0xFF, np.bincount(inv, s.a), np.bincount(inv, s.b), np.bincount(inv, s.lw)))
-    cols = [np.concatenate(c) for c in zip(*out)]
-    return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), *map(pa.array, cols[2:])], names=["near", "pid", "a", "b", "lw"])
+def _answers(batches, value):
+    """For every block its keys' values, in the order of its keys; ``value``: (kind, keys, counts) -> int64."""
+    for b in batches:
+        for r in range(b.num_rows):
+            kind, bucket, blocks, keys, counts = (b.column(c)[r].as_py() for c in ("kind", "bucket", "blocks", "keys", "counts"))
+            own = [unpack(k, np.int64, True) for k in keys]
+            key = np.unique(np.concatenate(own))
+            val = value(kind, key, unpack(counts, np.int64))
+            for block, k in zip(blocks, own):
+                yield pa.RecordBatch.from_pydict({"block": [block], "kind": pa.array([kind], pa.int32()), "bucket": [bucket], "vals": [pack(val[np.searchsorted(key, k)])]})
 
 
 def log_probs(code: np.ndarray, cnt: np.ndarray, top: Top) -> np.ndarray:
@@ -300,29 +309,38 @@ def _dealt(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum(size)], ids, held.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _block_counts(t: pa.Table, buckets: int) -> pa.Table:
-    buf, offs, _, held = _dealt(t)
-    block = t.column("block")[0].as_py()
-    grams_, tokens_ = [], []
+def _distinct(buf: np.ndarray, offs: np.ndarray, held: np.ndarray):
+    """(keys, training counts) of a block's grams and of its tokens."""
+    found: list = [[], []]
     for i, j in pieces(offs):
         low, o = lower_ascii(buf[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
-        learn = ~held[i:j]
-        for make, into in ((grams, grams_), (tokens, tokens_)):
+        for make, into in zip((grams, tokens), found):
             code, n = make(low, o)
-            into.append(_count(code, np.repeat(learn, n)))
-            if len(into) > 16:
+            into.append(_count(code, np.repeat(~held[i:j], n)))
+            if len(into) > 8:
                 into[:] = [_merge(into)]
-    (gk, gc), (tk, tc) = _merge(grams_), _merge(tokens_)
-    near = (gk.view(U64) >> U64(8)) & U64(0xFFFF)  # the nearest two bytes of the context
+    return [_merge(x) for x in found]
+
+
+def _by_bucket(key: np.ndarray, kind: int, buckets: int):
+    """(order of the keys by bucket, starts and ends of the buckets' runs, their numbers)."""
+    near = (key.view(U64) >> U64(8)) & U64(0xFFFF) if kind == 0 else key.view(U64)  # the nearest two bytes of the context
+    dest = (mix64(near) % U64(buckets)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    dest = dest[order]
+    cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.zeros(0, np.int64)
+    return order, cut, np.r_[cut[1:], len(dest)].astype(np.int64), dest[cut]
+
+
+def _block_counts(t: pa.Table, buckets: int) -> pa.Table:
+    buf, offs, _, held = _dealt(t)
+    block = t.column("block")[0].as_py()
     rows: list = []
-    for kind, key, cnt, dest in ((0, gk, gc, mix64(near)), (1, tk, tc, mix64(tk.view(U64)))):
-        dest = (dest % U64(buckets)).astype(np.int64)
-        order = np.argsort(dest, kind="stable")
-        dest = dest[order]
-        cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.zeros(0, np.int64)
-        for x, y in zip(cut, np.r_[cut[1:], len(dest)] if len(dest) else cut):
+    for kind, (key, cnt) in enumerate(_distinct(buf, offs, held)):
+        order, cut, ends, dest = _by_bucket(key, kind, buckets)
+        for x, y, d in zip(cut, ends, dest.tolist()):
             r = order[x:y]
-            rows.append((block, kind, int(dest[x]), pack(key[r], True), pack(cnt[r].astype(np.int64))))
+            rows.append((block, kind, d, pack(key[r], True), pack(cnt[r].astype(np.int64))))
     return pa.table([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "kind", "bucket", "keys", "vals"])
 
 
@@ -334,43 +352,39 @@ def score(docs: DataFrame, mod: int = 7, keep: int = 2) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(partitions(spark), size >> 20))
     d = d.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.length("text")), F.lit(blocks)))
-    buckets = max(64, partitions(spark), size >> 27)
+    buckets = max(64, partitions(spark), size >> 25)
     id_type = d.schema["doc_id"].dataType.simpleString()
     d = d.mapInArrow(_deal, f"block long, ids array<{id_type}>, held array<boolean>, sizes binary, texts binary")
-    counts = materialise(d.groupBy("block").applyInArrow(lambda t: _block_counts(t, buckets), "block long, kind int, bucket long, keys binary, vals binary"), "ctw")
-
-    def sum_tokens(t: pa.Table) -> pa.Table:
-        key, cnt, own = _bucket_keys(t)
-        return _answers(t, own, key, cnt.astype(np.float64), (int(cnt.sum()), int((cnt > 0).sum())))
-
-    words = materialise(counts.where("kind = 1").groupBy("bucket").applyInArrow(sum_tokens, ANSWERS), "ctw")
-    stat = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    counts = d.groupBy("block").applyInArrow(lambda t: _block_counts(t, buckets), "block long, kind int, bucket long, keys binary, vals binary")
+    met = materialise(counts.groupBy("bucket", "kind").applyInArrow(gather, GATHERED), "ctw")
+    stat = met.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, vocab = stat["n"], stat["v"]
     top = Top(
-        counts.where("kind = 0").groupBy("bucket").applyInArrow(summarise, "near long, pid long, a double, b double, lw double")
+        met.where("kind = 0").select(F.explode(F.arrays_zip("near", "pid", "a", "b", "lw")).alias("x")).select("x.*")
         .groupBy("near", "pid").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("lw")).collect()  # at most 65,280 rows
     )
     bc = spark.sparkContext.broadcast(top)
 
-    def evaluate(t: pa.Table) -> pa.Table:
-        key, cnt, own = _bucket_keys(t)
-        return _answers(t, own, key, log_probs(key.view(U64), cnt, bc.value))
+    def value(kind: int, key: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+        return np.round(log_probs(key.view(U64), cnt, bc.value) * FINE).astype(np.int64) if kind == 0 else cnt
 
-    known = counts.where("kind = 0").groupBy("bucket").applyInArrow(evaluate, ANSWERS)
-    values = words.select("block", "kind", "keys", "vals").unionByName(known.select("block", "kind", "keys", "vals"))
+    values = met.select("kind", "bucket", "blocks", "keys", "counts").mapInArrow(lambda batches: _answers(batches, value), "block long, kind int, bucket long, vals binary")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, offs, ids, held = _dealt(left)
-        kind, keys, vals = (right.column(c).to_pylist() for c in ("kind", "keys", "vals"))
-        gram, tok = (
-            Table(np.concatenate([unpack(k, np.int64, True) for k, x in zip(keys, kind) if x == want]), np.concatenate([unpack(v, np.float64) for v, x in zip(vals, kind) if x == want]))
-            for want in (0, 1)
-        )
+        right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds, vals = right.column("kind").to_numpy(), right.column("vals").to_pylist()
+        look = []
+        for kind, (key, _) in enumerate(_distinct(buf, offs, held)):
+            order = _by_bucket(key, kind, buckets)[0]
+            got = np.concatenate([unpack(vals[r], np.int64) for r in np.flatnonzero(kinds == kind)])
+            look.append(Table(key[order], got))
+        gram, tok = look
         cols: list = []
         for i, j in pieces(offs):
             low, o = lower_ascii(buf[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
             code, n = grams(low, o)
-            lp = np.add.reduceat(gram.get(code.view(np.int64)), np.cumsum(n) - n)
+            lp = np.add.reduceat(gram.get(code.view(np.int64)) / FINE, np.cumsum(n) - n)
             h, m = tokens(low, o)
             c = tok.get(h)
             first = np.cumsum(m) - m
