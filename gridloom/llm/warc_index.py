@@ -4,11 +4,14 @@ Writing: rows are range-sorted by (reversed-host URL key, page id); every task w
 one .warc.gz of separately compressed records plus, beside it, an index shard: sorted
 key lines in compressed blocks of ``BLOCK`` lines, and a sparse directory of the first
 key of each block.  The second level over shards is one small table of first and last
-keys (one row per shard, so bounded by the number of tasks).
+keys (one row per shard, so bounded by the number of tasks; the driver checks that there
+are at most ``SHARDS``).
 
-Reading: a lookup sends each key to the shards whose range holds it, binary-searches
-the shard's directory, range-reads the blocks and then the records.  A full read-back
-walks the same index, block by block.
+Reading: a lookup binary-searches the second level for the shards that can hold a key,
+then, in the order of shards and keys, each shard's directory, range-reads the block and
+then the records.  Keys are range-dealt, so a shard's captures may be read by several tasks,
+and a task holds one block of lines and some records.  ``archive`` reads every page back
+by its key in this way; ``read_all`` walks the index without keys.
 
 Files go to the shared folder, under a name of the task attempt, and are renamed when
 whole; the row that names them comes from the successful attempt only, so lost
@@ -38,6 +41,9 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, shared_dir
 
 BLOCK = 512
+SHARDS = 1 << 20
+#: Payloads in more rows than this are joined by broadcast: at most rows / HOT digests.
+HOT = 1 << 16
 MIN_REVISIT = 1000
 
 
@@ -62,15 +68,27 @@ def revisits(pages: DataFrame) -> DataFrame:
     payload with a third of all rows costs one row per task.
     """
     long = pages.select("page_id", "url", "html").where(F.octet_length("html") >= MIN_REVISIT)
-    p = long.select("page_id", "url", _row_hash().alias("h"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    top = p.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(top, "digest").where(~F.col("page_id").eqNullSafe(F.col("top"))).select("page_id", "url", "h", F.col("top").alias("refers_to")).distinct()
+    p = materialise(long.select("page_id", "url", _row_hash().alias("h"), F.sha1(F.col("html").cast("binary")).alias("digest")), "warc")
+    top = p.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    marked = p.join(F.broadcast(top.where(F.col("n") > HOT).select("digest", F.col("top").alias("hot"))), "digest", "left")
+    rare = marked.where("hot IS NULL").join(top.where(F.col("n") <= HOT).select("digest", "top"), "digest")
+    every = rare.unionByName(marked.where("hot IS NOT NULL").withColumn("top", F.col("hot")))
+    return every.where(~F.col("page_id").eqNullSafe(F.col("top"))).select("page_id", "url", "h", F.col("top").alias("refers_to")).distinct()
 
 
 def _row_hash():
     return F.xxhash64("url", F.coalesce("html", F.lit("")))
 
 
+def _key(url: pa.Array) -> pa.Array:
+    return pa.array([surt(x) for x in url.to_pylist()], pa.string())
+
+
+def keyed(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with the key of its URLs, in whole Arrow columns."""
+    return df.withColumn("key", F.arrow_udf(_key, "string")(url))
+
+
 def _head(kind: str, fields: list[tuple[str, str]], length: int) -> bytes:
     lines = [f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode()
@@ -134,9 +152,7 @@ def write(pages: DataFrame, root: str | None = None, shards: int | None = None)
     # right before their rows.
     rows = pages.select("page_id", "url", _row_hash().alias("h"), F.lit(1).alias("row"), F.lit(None).cast("long").alias("refers_to"), F.coalesce("html", F.lit("")).alias("html"))
     marks = revisits(pages).select("page_id", "url", "h", F.lit(0).alias("row"), "refers_to", F.lit(None).cast("string").alias("html"))
-    key = F.udf(surt, "string")
-    keyed = rows.unionByName(marks).withColumn("key", key("url"))
-    ordered = keyed.repartitionByRange(shards or partitions(spark), "key", "page_id", "h").sortWithinPartitions("key", "page_id", "h", "row")
+    ordered = keyed(rows.unionByName(marks)).repartitionByRange(shards or partitions(spark), "key", "page_id", "h").sortWithinPartitions("key", "page_id", "h", "row")
 
     def save(batches):
         out = mark = None
@@ -189,20 +205,29 @@ def _lines(fs, base: str, shard: str, entry: list, cdx=None) -> list[tuple[str,
     return [(k, json.loads(rest)) for k, rest in (x.split(" ", 1) for x in text.splitlines())]
 
 
-def find(fs, base: str, shard: str, directory: list, key: str) -> list[list]:
-    """[page_id, offset, length] of every capture of ``key`` in a shard: binary search of
-    the sparse directory, then one range read for each block that can hold the key."""
-    firsts = [d[0] for d in directory]
-    i = max(bisect.bisect_left(firsts, key) - 1, 0)
-    out = []
-    while i < len(directory) and firsts[i] <= key:
-        lines = _lines(fs, base, shard, directory[i])
-        j = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        while j < len(lines) and lines[j][0] == key:
-            out.append(lines[j][1])
-            j += 1
-        i += 1
-    return out
+class Shard:
+    """An open shard: its sparse directory, and the last block of lines that was read."""
+
+    def __init__(self, root: str, name: str, at: int = 0):
+        self.fs, self.base = _filesystem(root)
+        self.name, self.at = name, at
+        self.directory = directory_of(self.fs, self.base, name)
+        self.firsts = [d[0] for d in self.directory]
+        self.warc = self.fs.open_input_file(f"{self.base}/{name}.warc.gz")
+        self.block, self.lines = -1, []
+
+    def find(self, key: str):
+        """[page_id, offset, length] of every capture of ``key``: binary search of the sparse
+        directory, then a range read for each block that can hold the key."""
+        i = max(bisect.bisect_left(self.firsts, key) - 1, 0)
+        while i < len(self.directory) and self.firsts[i] <= key:
+            if i != self.block:
+                self.block, self.lines = i, _lines(self.fs, self.base, self.name, self.directory[i])
+            j = bisect.bisect_left(self.lines, key, key=lambda x: x[0])
+            while j < len(self.lines) and self.lines[j][0] == key:
+                yield self.lines[j][1]
+                j += 1
+            i += 1
 
 
 def directory_of(fs, base: str, shard: str) -> list:
@@ -252,32 +277,54 @@ def read_all(table: DataFrame, root: str) -> DataFrame:
 
 
 def lookup(urls: DataFrame, table: DataFrame, root: str) -> DataFrame:
-    """Captures of the ``url`` column's URLs: RECORD plus key.
-
-    A key joins the shards whose [first, last] holds it (a range join with the small
-    shard table); each shard's keys are then searched in one task per shard.
-    """
-    key = F.udf(surt, "string")
-    keys = urls.select(key("url").alias("key")).distinct()
-    hits = keys.join(F.broadcast(table), (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("shard", "key")
-
-    def search(t: pa.Table) -> pa.Table:
-        fs, base = _filesystem(root)
-        shard = t.column("shard")[0].as_py()
-        directory = directory_of(fs, base, shard)
-        rows = []
-        with fs.open_input_file(f"{base}/{shard}.warc.gz") as warc:
-            for k in t.column("key").to_pylist():
-                rows += [_row(parse(warc.read_at(n, at))) | {"key": k} for _, at, n in find(fs, base, shard, directory, k)]
-        return pa.Table.from_pylist(rows, schema=_RECORD_ARROW.append(pa.field("key", pa.string())))
-
-    return hits.groupBy("shard").applyInArrow(search, RECORD + ", key string")
+    """Captures of the ``url`` column's URLs: RECORD plus key."""
+    spark = urls.sparkSession
+    found = table.select("first", "last", "shard").limit(SHARDS + 1).collect()
+    if len(found) > SHARDS:
+        raise ValueError("too many shards for the second level")
+    ranges = sorted(tuple(r) for r in found)
+    if not ranges:
+        return spark.createDataFrame([], RECORD + ", key string")
+    # Shards are ordered and may share a first or last key with their neighbours.
+    level = spark.sparkContext.broadcast(([r[0] for r in ranges], [r[1] for r in ranges], [r[2] for r in ranges]))
+
+    def route(batches):
+        firsts, lasts, shards = level.value
+        for b in batches:
+            at, key = [], []
+            for k in b.column("key").to_pylist():
+                i = bisect.bisect_left(lasts, k)
+                while i < len(shards) and firsts[i] <= k:
+                    at.append(i)
+                    key.append(k)
+                    i += 1
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "key": pa.array(key, pa.string())})
+
+    hits = keyed(urls.select("url")).select("key").distinct().mapInArrow(route, "at int, key string")
+    ordered = hits.repartitionByRange(partitions(spark), "at", "key").sortWithinPartitions("at", "key")
+    schema = _RECORD_ARROW.append(pa.field("key", pa.string()))
+
+    def search(batches):
+        reader, rows = None, []
+        for b in batches:
+            for at, k in zip(b.column("at").to_pylist(), b.column("key").to_pylist()):
+                if reader is None or reader.at != at:
+                    reader = Shard(root, level.value[2][at], at)
+                for _, offset, n in reader.find(k):
+                    rows.append(_row(parse(reader.warc.read_at(n, offset))) | {"key": k})
+                    if len(rows) == BLOCK:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return ordered.mapInArrow(search, RECORD + ", key string")
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write, then read back through the index."""
+    """Write, then read every page back by its URL's key."""
     table, root = write(pages)
-    return read_all(table, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(pages, table, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
