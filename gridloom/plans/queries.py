@@ -6,37 +6,18 @@ carrier), supplier = plant, customer = load, lineitem = dispatch, events = serie
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import allocation, cleaning, clustering, constraints, frames, graph, network, sectors, spatial, temporal
-from ..session import Catalog
+from ..operators import allocation, cleaning, clustering, frames, graph, network, sectors, spatial, temporal
 from . import summary
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalog(spark, sf_dir))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(x, n: int = 4):
-    return F.round(x, n)
+from .registry import ORACLE, QUERIES, query, r  # noqa: F401
 
 
 # ------------------------------------------------------------ network mapping
-def dispatch(c: Catalog) -> DataFrame:
+def dispatch(c) -> DataFrame:
     """lineitem as dispatch: quantity is power, price per unit the marginal cost, returns consume."""
     l = c.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     j = (
@@ -55,11 +36,11 @@ _D = """d AS (SELECT 'Generator' AS component, s_suppkey AS name, p_type AS carr
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
 
 
-def assets(c: Catalog) -> DataFrame:
+def assets(c) -> DataFrame:
     return c.part.select("p_partkey", F.col("p_type").alias("carrier"), F.col("p_brand").alias("bus"), F.col("p_size").cast("double").alias("p_nom_opt"), F.col("p_retailprice").alias("capital_cost"), (F.col("p_size") / 50.0).alias("efficiency"))
 
 
-def hourly(c: Catalog) -> DataFrame:
+def hourly(c) -> DataFrame:
     """Events as an hourly series per type, with gaps (NULL) where nothing happened."""
     e = c.events.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.avg("value").alias("v"))
     span = c.events.agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz").alias("a"), F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("b"))
@@ -663,21 +644,6 @@ def cop_lorenz(c):
     return c.events.select("event_id", r(scalars.cop_lorenz(F.lit(313.15), F.lit(343.15), x, x - 3.0)).alias("cop"))
 
 
-@query("""WITH g AS (SELECT s_suppkey::VARCHAR AS name, s_nationkey::VARCHAR AS country, s_suppkey % 3 = 0 AS ext, abs(s_acctbal) AS p_nom FROM supplier), h AS (SELECT country, sum(p_nom) AS have FROM g WHERE NOT ext GROUP BY 1)
- SELECT 'limit_max' AS "constraint", g.country || ' wind' AS row_key, name AS var, 1.0::DOUBLE AS coef, '<=' AS sense, round(greatest(20000 - coalesce(have, 0), 0), 4) AS rhs FROM g LEFT JOIN h ON h.country = g.country WHERE ext""")
-def limit_constraints(c):
-    g = c.supplier.select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_nationkey").cast("string").alias("country"), F.lit("wind").alias("carrier"), (F.col("s_suppkey") % 3 == 0).alias("p_nom_extendable"), F.abs("s_acctbal").alias("p_nom"))
-    lim = c.nation.select(F.col("n_nationkey").cast("string").alias("country"), F.lit("wind").alias("carrier"), F.lit(None).cast("double").alias("min"), F.lit(20000.0).alias("max"))
-    return constraints.country_carrier_limits(g, lim).withColumn("rhs", r("rhs"))
-
-
-@query("""WITH g AS (SELECT s_suppkey::VARCHAR AS name, s_nationkey::VARCHAR AS bus, s_suppkey % 3 = 0 AS ext, abs(s_acctbal) AS p FROM supplier), u AS (SELECT bus, sum(p) AS used FROM g WHERE NOT ext GROUP BY 1)
- SELECT 'land_use' AS "constraint", g.bus || ' wind' AS row_key, name AS var, 1.0::DOUBLE AS coef, '<=' AS sense, round(greatest(5000 - coalesce(used, 0), 0), 4) AS rhs FROM g LEFT JOIN u ON u.bus = g.bus WHERE ext""")
-def land_use(c):
-    g = c.supplier.select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_nationkey").cast("string").alias("bus"), F.lit("wind").alias("carrier"), (F.col("s_suppkey") % 3 == 0).alias("p_nom_extendable"), F.abs("s_acctbal").alias("p_nom"), F.lit(5000.0).alias("p_nom_max"))
-    return constraints.land_use(g).withColumn("rhs", r("rhs"))
-
-
 @query("SELECT l_shipmode_ AS tech, count(*) AS n FROM (SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'metal' WHEN p_type LIKE '%BRASS%' THEN 'alloy' WHEN p_type LIKE '%COPPER%' THEN 'alloy' ELSE p_type END AS l_shipmode_ FROM part) GROUP BY 1")
 def rename_techs(c):
     t = scalars.rename_tech(F.col("p_type"), ["residential "], {"STEEL": "metal", "BRASS": "alloy", "COPPER": "alloy"}, {})
@@ -827,3 +793,6 @@ def district_heat_share(c):
 def retrofit_measure(c):
     d = c.part.select(F.col("p_type").alias("k"), F.col("p_name").alias("measure"), F.col("p_retailprice").alias("cost"), (F.col("p_size") / 50.0).alias("saving"))
     return sectors.cheapest_measure(d, ["k"], 0.4)
+
+
+from . import queries_constraints  # noqa: E402, F401  more queries register themselves
