@@ -73,23 +73,34 @@ def pipe_capacity(diameter: Column) -> Column:
     return out.otherwise(y0 + (diameter - x0) * (y1 - y0) / (x1 - x0))
 
 
-def rename_tech(name: Column, prefixes: list[str], contains: dict[str, str], exact: dict[str, str]) -> Column:
-    """Group names for display: prefixes dropped, then the first group whose key is
-    contained, then exact names."""
+def rename_tech(name: Column, prefixes: list[str], contains: list[str], contains_to: dict[str, str], exact: dict[str, str]) -> Column:
+    """Group names for display, rule after rule, each on what the one before left: prefixes
+    dropped, a word contained becomes the name, a word contained becomes another name, exact names."""
     out = name
     for p in prefixes:
         out = F.when(F.startswith(out, F.lit(p)), F.substring(out, len(p) + 1, 10_000)).otherwise(out)
-    rule = None
-    for k, v in contains.items():
-        rule = F.when(F.contains(out, F.lit(k)), v) if rule is None else rule.when(F.contains(out, F.lit(k)), v)
-    out = rule.otherwise(out) if rule is not None else out
+    for k, v in [*((x, x) for x in contains), *contains_to.items()]:
+        out = F.when(F.contains(out, F.lit(k)), F.lit(v)).otherwise(out)
     for k, v in exact.items():
         out = F.when(out == k, F.lit(v)).otherwise(out)
     return out
 
 
+#: Two-letter codes of countries by name.
+COUNTRY_CODES = {
+    "Albania": "AL", "Austria": "AT", "Belgium": "BE", "Bosnia and Herzegovina": "BA", "Bulgaria": "BG", "Croatia": "HR", "Cyprus": "CY", "Czechia": "CZ", "Denmark": "DK", "Estonia": "EE",
+    "Finland": "FI", "France": "FR", "Germany": "DE", "Greece": "GR", "Hungary": "HU", "Ireland": "IE", "Italy": "IT", "Kosovo": "XK", "Latvia": "LV", "Lithuania": "LT", "Luxembourg": "LU",
+    "Malta": "MT", "Moldova": "MD", "Montenegro": "ME", "Netherlands": "NL", "North Macedonia": "MK", "Norway": "NO", "Poland": "PL", "Portugal": "PT", "Romania": "RO", "Serbia": "RS",
+    "Slovakia": "SK", "Slovenia": "SI", "Spain": "ES", "Sweden": "SE", "Switzerland": "CH", "Ukraine": "UA", "United Kingdom": "GB",
+}
+#: Other spellings and codes.
+COUNTRY_ALIASES = {"EL": "GR", "UK": "GB", "KV": "XK", "KOSOVO*": "XK", "CZECH REPUBLIC": "CZ", "MACEDONIA": "MK", "REPUBLIC OF MOLDOVA": "MD", "BOSNIA & HERZEGOVINA": "BA", "GREAT BRITAIN": "GB"}
+
+
 def country(name: Column) -> Column:
-    return F.substring(name, 1, 2)
+    """The two-letter code of a country's name or code; NULL if unknown."""
+    table = {k.upper(): v for k, v in COUNTRY_CODES.items()} | {v: v for v in COUNTRY_CODES.values()} | COUNTRY_ALIASES
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.upper(F.trim(name)))
 
 
 def storage_soc(inflow: Column, factor: float) -> Column:

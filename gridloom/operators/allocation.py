@@ -46,18 +46,31 @@ def capacity_gap(plants: DataFrame, statistics: DataFrame, group: str, node: str
 
 
 def density_cut(df: DataFrame, country: str, density: str, population: str, rural: float, out: str = "urban") -> DataFrame:
-    """Cells in rising density are rural until the running population passes the rural share."""
+    """Cells in rising density are rural while the running population is under the rural share;
+    a cell that reaches it is urban."""
     w = W.partitionBy(country).orderBy(density)
     run = F.sum(population).over(w.rowsBetween(W.unboundedPreceding, 0))
     total = F.sum(population).over(W.partitionBy(country))
-    return df.withColumn(out, run > rural * total)
+    return df.withColumn(out, ~F.coalesce(F.try_divide(run, total) < rural, F.lit(False)))
 
 
 def brownfield(assets: DataFrame, year: int, threshold: float = 10.0) -> DataFrame:
-    """Assets carried into ``year``: finite lifetime, not expired, capacity over the
-    threshold; frozen (not extendable) at their optimum."""
-    keep = (F.col("lifetime") < float("inf")) & (F.col("build_year") + F.col("lifetime") > year) & (F.col("p_nom_opt") > threshold)
-    return assets.where(keep).withColumns({"p_nom": F.col("p_nom_opt"), "p_nom_extendable": F.lit(False)})
+    """Assets carried into ``year``, frozen (not extendable) at their optimum.
+
+    Infinite lifetimes and expired assets go, and so do extendable ones whose optimum is under
+    the threshold.  The heat link of an extendable urban central CHP is held against the
+    threshold of its electric link (the name with "electric" for "heat"): threshold *
+    efficiency * p_nom_ratio of that link / its own efficiency.
+    """
+    chp = F.col("p_nom_extendable") & F.contains("name", F.lit("urban central")) & F.contains("name", F.lit("CHP")) & F.contains("name", F.lit("heat"))
+    e = assets.select(F.col("name").alias("_e"), (F.col("efficiency") * F.col("p_nom_ratio")).alias("_x"))
+    j = assets.withColumn("_to", F.when(chp, F.replace("name", F.lit("heat"), F.lit("electric"))))
+    j = j.join(e, j["_to"] == e["_e"], "left")
+    least = F.when(F.col("_to").isNotNull(), threshold * F.col("_x") / F.col("efficiency")).otherwise(F.lit(threshold))
+    alive = (F.col("lifetime") < float("inf")) & (F.col("build_year") + F.col("lifetime") > year)
+    small = F.col("p_nom_extendable") & F.coalesce(F.col("p_nom_opt") < least, F.lit(False))
+    kept = j.where(alive & ~small).select(*assets.columns)
+    return kept.withColumns({"p_nom": F.col("p_nom_opt"), "p_nom_extendable": F.lit(False)})
 
 
 def vintage_bins(df: DataFrame, year: str, edges: list[int], out: str = "grouping_year") -> DataFrame:

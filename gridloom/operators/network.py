@@ -10,20 +10,25 @@ from .graph import canonical_edges, components
 
 
 def merge_parallel(lines: DataFrame) -> DataFrame:
-    """Lines of one geometry and voltage become one: circuits add up, ids are joined and
-    the name gets the voltage in kV."""
+    """Lines of one geometry and voltage become one: circuits add up and the first id (up to its
+    first -, if lines were merged) stays; every id then gets the voltage in kV."""
     g = lines.groupBy("geometry", "voltage").agg(F.min("line_id").alias("first"), F.sum("circuits").alias("circuits"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("line_id")), ";").alias("contains"))
     kv = F.floor(F.col("voltage") / 1000).cast("string")
-    return g.select(F.when(F.col("n") > 1, F.concat("first", F.lit("-"), kv)).otherwise(F.col("first")).alias("line_id"), "geometry", "voltage", "circuits", "contains")
+    base = F.when(F.col("n") > 1, F.substring_index("first", "-", 1)).otherwise(F.col("first"))
+    return g.select(F.concat(base, F.lit("-"), kv).alias("line_id"), "geometry", "voltage", "circuits", "contains")
 
 
 def station_transformers(buses: DataFrame) -> DataFrame:
-    """A transformer for each pair of neighbouring voltages of a station; its rating is the
-    larger capacity of the two buses."""
-    b = buses.select("station_id", "bus_id", "voltage", "s_nom")
-    up = W.partitionBy("station_id").orderBy("voltage", "bus_id")
-    p = b.select("station_id", F.col("bus_id").alias("bus0"), F.col("voltage").alias("v0"), F.col("s_nom").alias("s0"), F.lead("bus_id").over(up).alias("bus1"), F.lead("voltage").over(up).alias("v1"), F.lead("s_nom").over(up).alias("s1"))
-    return p.where("bus1 IS NOT NULL AND v0 <> v1").select("station_id", "bus0", "bus1", "v0", "v1", F.greatest("s0", "s1").alias("s_nom"))
+    """A transformer for every pair of buses (in the order of their ids) of a station with more
+    than one voltage; its rating is the larger capacity of the two buses."""
+    many = buses.groupBy("station_id").agg(F.countDistinct("voltage").alias("n")).where("n > 1").select("station_id")
+    b = buses.join(many, "station_id", "left_semi").select("station_id", "bus_id", "voltage", "s_nom")
+    # The buses of one station are few; a station is one array.
+    g = b.groupBy("station_id").agg(F.array_sort(F.collect_list(F.struct("bus_id", "voltage", "s_nom"))).alias("x"))
+    p = g.select("station_id", "x", F.posexplode("x").alias("i", "a")).select("station_id", "a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
+    kv = lambda c: F.floor(F.col(c) / 1000).cast("string")
+    name = F.concat_ws("-", F.col("station_id").cast("string"), kv("a.voltage"), kv("b.voltage"))
+    return p.select(name.alias("transformer_id"), "station_id", F.col("a.bus_id").alias("bus0"), F.col("b.bus_id").alias("bus1"), F.col("a.voltage").alias("v0"), F.col("b.voltage").alias("v1"), F.greatest("a.s_nom", "b.s_nom").alias("s_nom"))
 
 
 def bus_capacity(branches: DataFrame) -> DataFrame:
@@ -42,13 +47,21 @@ def circuits_to_one_voltage(num_parallel, v_nom, target: float):
     return num_parallel * (v_nom / target) ** 2
 
 
-def copperplate(buses: DataFrame, groups: list[list[str]], capacity: float) -> DataFrame:
-    """Lossless links of a capacity from the first country's bus of each group to the others."""
-    rows = [(i, c, k) for i, g in enumerate(groups) for k, c in enumerate(g)]
-    g = buses.sparkSession.createDataFrame(rows, "grp int, country string, pos int")
-    b = buses.groupBy("country").agg(F.min("name").alias("bus")).join(F.broadcast(g), "country")  # one row per listed country
-    hub = b.withColumn("hub", F.first("bus").over(W.partitionBy("grp").orderBy("pos")))
-    return hub.where("bus <> hub").select(F.concat_ws(" ", F.lit("copperplate"), "hub", "bus").alias("name"), F.col("hub").alias("bus0"), F.col("bus").alias("bus1"), F.lit(capacity).alias("p_nom"), F.lit(1.0).alias("efficiency"))
+def copperplate(buses: DataFrame, branches: DataFrame, groups: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(branches without those inside a zone, links of infinite capacity from a zone's first bus
+    to its others).  A zone is a group of buses named by them; any other bus is its own."""
+    rows = [("_".join(g), b, i) for g in groups for i, b in enumerate(g)]
+    z = buses.sparkSession.createDataFrame(rows, "zone string, name string, pos int")
+    have = z.join(buses.select("name"), "name", "left_semi")
+    left = branches
+    for p in ("bus0", "bus1"):
+        m = z.select(F.col("name").alias(p), F.col("zone").alias(f"_{p}"))
+        left = left.join(m, p, "left").withColumn(f"_{p}", F.coalesce(f"_{p}", p))
+    left = left.where("_bus0 <> _bus1").select(*branches.columns)
+    w = W.partitionBy("zone").orderBy("pos")
+    hub = have.withColumns({"hub": F.first("name").over(w), "i": F.row_number().over(w) - 2}).where("i >= 0")
+    new = hub.select(F.concat_ws("_", F.lit("copper"), "zone", F.col("i").cast("string")).alias("name"), F.lit("copper").alias("carrier"), F.col("hub").alias("bus0"), F.col("name").alias("bus1"), F.lit(float("inf")).alias("p_nom"), F.lit(-1.0).alias("p_min_pu"))
+    return left, new
 
 
 def integer_weights(df: DataFrame, by: str, weight: str) -> DataFrame:

@@ -20,12 +20,14 @@ def prepare_costs(long: DataFrame, defaults: dict[str, float], years: float = 1.
     return w.select("*", capital.alias("capital_cost"), (F.col("VOM") + F.try_divide("fuel", "efficiency")).alias("marginal_cost"))
 
 
-def storage_costs(costs: DataFrame, hours: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """Composite storage: power part + hours * energy part, by (power, energy, hours)."""
-    spec = costs.sparkSession.createDataFrame([(k, *v) for k, v in hours.items()], "storage string, power string, energy string, max_hours double")
-    p = costs.select(F.col("technology").alias("power"), F.col("capital_cost").alias("cp"))
-    e = costs.select(F.col("technology").alias("energy"), F.col("capital_cost").alias("ce"))
-    return spec.join(p, "power").join(e, "energy").select(F.col("storage").alias("technology"), (F.col("cp") + F.col("max_hours") * F.col("ce")).alias("capital_cost"))
+def storage_costs(costs: DataFrame, parts: dict[str, tuple[str, str, str | None, float]]) -> DataFrame:
+    """Composite storage by (energy part, link, second link or None, hours): link + hours *
+    energy part + second link; such a row costs nothing else."""
+    spec = costs.sparkSession.createDataFrame([(k, *v) for k, v in parts.items()], "technology string, store string, link1 string, link2 string, max_hours double")
+    cost = lambda key: costs.select(F.col("technology").alias(key), F.col("capital_cost").alias(f"c_{key}"))
+    j = spec.join(cost("store"), "store").join(cost("link1"), "link1").join(cost("link2"), "link2", "left")
+    total = F.col("c_link1") + F.col("max_hours") * F.col("c_store") + F.when(F.col("link2").isNull(), F.lit(0.0)).otherwise(F.col("c_link2"))
+    return j.select("technology", total.alias("capital_cost"), F.lit(0.0).alias("marginal_cost"), F.lit(0.0).alias("CO2 intensity"), F.lit(0.0).alias("standing_losses"))
 
 
 def blend_ratios(today: DataFrame, future: DataFrame, keys: list[str], fraction: float) -> DataFrame:
@@ -49,10 +51,11 @@ def split_dissolved(df: DataFrame, shares: DataFrame, key: str, value: str) -> D
     return out.groupBy(*[c for c in df.columns if c != value]).agg(F.sum(value).alias(value))
 
 
-def emissions_from_fuel(df: DataFrame, keys: list[str], factors: dict[str, float]) -> DataFrame:
-    """Dot product of fuel columns with emission factors."""
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * f for c, f in factors.items()), F.lit(0.0))
-    return df.groupBy(*keys).agg(F.sum(total).alias("co2"))
+def emissions_from_fuel(energy: DataFrame, keys: list[str], factors: DataFrame) -> DataFrame:
+    """(keys, fuel, value) with (fuel, factor) -> co2: energy times the fuel's factor, summed;
+    fuels without a factor emit nothing."""
+    j = energy.join(factors.select("fuel", "factor"), "fuel", "left")
+    return j.groupBy(*keys).agg(F.sum(F.coalesce(F.col("value") * F.col("factor"), F.lit(0.0))).alias("co2"))
 
 
 def fallback(df: DataFrame, cols: list[str], out: str) -> DataFrame:
@@ -69,11 +72,12 @@ def heating_distribution(totals: DataFrame, nodes: DataFrame, key: str) -> DataF
     return j.select("node", "technology", F.explode(parts).alias("p"), (F.col("value") * F.col("share")).alias("v")).select("node", "technology", "p.area", (F.col("v") * F.col("p.f")).alias("value"))
 
 
-def district_heat_share(df: DataFrame, progress: float, potential: float) -> DataFrame:
-    """Today's share moves towards the potential by ``progress``, never above the urban
-    fraction and never below today's."""
-    goal = F.greatest(F.least(F.lit(potential), F.col("urban_fraction")) - F.col("share"), F.lit(0.0))
-    return df.withColumn("district_fraction", F.col("share") + progress * goal)
+def district_heat_share(df: DataFrame, progress: float) -> DataFrame:
+    """Today's share moves towards max(urban fraction, share) * potential by ``progress`` of the
+    distance, never down; the urban fraction is raised to today's share."""
+    urban = F.greatest("urban_fraction", "share")
+    goal = F.greatest(urban * F.col("potential") - F.col("share"), F.lit(0.0))
+    return df.withColumns({"urban_fraction": urban, "district_fraction": F.col("share") + progress * goal})
 
 
 def cheapest_measure(curves: DataFrame, key: list[str], saving: float) -> DataFrame:

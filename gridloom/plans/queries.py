@@ -71,39 +71,6 @@ def capacities(c):
     return summary.capacities(assets(c), ["carrier"]).withColumn("p_nom_opt", r("p_nom_opt"))
 
 
-@query(f"""WITH {_D}, e AS (SELECT carrier, sum(abs(p) * w) AS energy FROM d GROUP BY 1), k AS (SELECT p_type AS carrier, sum(p_size)::DOUBLE AS p FROM part GROUP BY 1)
- SELECT carrier, round(coalesce(energy, 0) / nullif(p * 8760, 0), 8) AS capacity_factor FROM k LEFT JOIN e USING (carrier)""")
-def capacity_factors(c):
-    return summary.capacity_factors(assets(c), dispatch(c), ["carrier"], F.lit(8760.0)).withColumn("capacity_factor", r("capacity_factor", 8))
-
-
-@query("""SELECT l_returnflag AS carrier, round((sum(50.0 * (1 - l_discount)) - sum(l_quantity * (1 - l_discount))) / sum(50.0 * (1 - l_discount)) * 100, 4) AS curtailment FROM lineitem GROUP BY 1""")
-def curtailment(c):
-    a = c.lineitem.select(F.col("l_returnflag").alias("carrier"), F.lit(1.0).alias("p_max_pu"), F.lit(50.0).alias("p_nom_opt"), (1 - F.col("l_discount")).alias("w"), F.col("l_quantity").alias("p"))
-    return summary.curtailment(a, ["carrier"]).withColumn("curtailment", r("curtailment"))
-
-
-@query(f"WITH {_D}, b AS (SELECT carrier, bus, avg(marginal_cost) AS x FROM d GROUP BY ALL) SELECT carrier, round(avg(x), 4) AS price FROM b GROUP BY 1")
-def prices(c):
-    return summary.prices(dispatch(c).withColumnRenamed("marginal_cost", "price"), ["carrier"]).withColumn("price", r("price"))
-
-
-@query(f"WITH {_D} SELECT carrier, round(sum(marginal_cost * p * w) / sum(p * w), 4) AS price FROM d GROUP BY 1")
-def weighted_prices(c):
-    return summary.weighted_prices(dispatch(c).withColumnsRenamed({"marginal_cost": "price", "p": "load"}), ["carrier"]).withColumn("price", r("price"))
-
-
-@query(f"WITH {_D} SELECT bus, carrier, round(sum(p * marginal_cost * w) / nullif(sum(p * w), 0), 4) AS market_value FROM d GROUP BY ALL")
-def market_values(c):
-    return summary.market_values(dispatch(c).withColumnRenamed("marginal_cost", "price"), ["bus", "carrier"]).withColumn("market_value", r("market_value"))
-
-
-@query("""SELECT l_linestatus AS bus, round(avg(CASE WHEN l_tax * 20 < 1.0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(avg(l_tax * 20), 6) AS mean_price, round(stddev_samp(l_tax * 20), 6) AS std_price FROM lineitem GROUP BY 1""")
-def price_metrics(c):
-    m = summary.price_metrics(c.lineitem.select(F.col("l_linestatus").alias("bus"), (F.col("l_tax") * 20).alias("price")), ["bus"])
-    return m.select("bus", r("zero_share", 6).alias("zero_share"), r("mean_price", 6).alias("mean_price"), r("std_price", 6).alias("std_price"))
-
-
 @query("""WITH y AS (SELECT o_orderstatus AS label, year(o_orderdate)::DOUBLE AS x, sum(o_totalprice) AS y FROM orders GROUP BY ALL),
  v AS (SELECT label, rate, x, y / pow(1 + rate, x - 1992) AS v FROM y, (SELECT unnest([0.0, 0.05, 0.09]) AS rate)),
  a AS (SELECT label, rate, (v + lag(v) OVER w) / 2 * (x - lag(x) OVER w) AS a FROM v WINDOW w AS (PARTITION BY label, rate ORDER BY x))
@@ -129,11 +96,6 @@ def assign_location(c):
     return summary.assign_location(d, ["l0", "l1"]).select("c_custkey", "location")
 
 
-@query(f"WITH {_D}, g AS (SELECT bus, carrier, sum(p) AS p, max(abs(p)) AS m FROM d GROUP BY ALL) SELECT bus, carrier, round(p, 4) AS p FROM g WHERE m >= 50")
-def threshold_drop(c):
-    return summary.drop_small(dispatch(c), ["bus", "carrier"], "p", 50.0).withColumn("p", r("p"))
-
-
 @query("""WITH l AS (SELECT l_orderkey AS name, l_suppkey::VARCHAR AS bus0, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_partkey::VARCHAR END AS bus1, l_quantity AS p0, -l_quantity * 0.9 AS p1 FROM lineitem)
  SELECT port, count(*) AS n, round(sum(p), 4) AS p FROM (SELECT 0 AS port, -p0 AS p FROM l WHERE bus0 <> '' UNION ALL SELECT 1, -p1 FROM l WHERE bus1 <> '') GROUP BY 1""")
 def link_ports(c):
@@ -701,25 +663,6 @@ def energy_by_period(c):
     return summary.wide(e, ["carrier"], "period", [1994, 1996], "energy").select("carrier", r("1994").alias("1994"), r("1996").alias("1996"))
 
 
-@query("""SELECT y AS period, round(sum(v) / pow(1.03, y - 1992), 2) AS cost FROM (SELECT year(o_orderdate) AS y, o_totalprice AS v FROM orders) GROUP BY 1""")
-def discounted_costs_by_period(c):
-    g = c.orders.groupBy(F.year("o_orderdate").cast("long").alias("period")).agg(F.sum("o_totalprice").alias("v"))
-    return g.select("period", r(F.col("v") / F.pow(F.lit(1.03), F.col("period") - 1992), 2).alias("cost"))
-
-
-@query("""WITH a AS (SELECT p_type AS carrier, 1980 + p_partkey % 40 AS b, 10 + p_partkey % 30 AS life, p_size::DOUBLE AS p FROM part) SELECT y AS period, carrier, round(sum(p), 4) AS p_nom_opt FROM a, (VALUES (2000), (2010), (2020)) t(y) WHERE b <= y AND b + life > y GROUP BY ALL""")
-def capacity_alive_by_period(c):
-    a = c.part.select(F.col("p_type").alias("carrier"), (F.col("p_partkey") % 40 + 1980).alias("b"), (F.col("p_partkey") % 30 + 10).alias("life"), F.col("p_size").cast("double").alias("p_nom_opt"))
-    a = a.withColumn("period", F.explode(F.array(F.lit(2000), F.lit(2010), F.lit(2020)))).where("b <= period AND b + life > period")
-    return summary.capacities(a, ["period", "carrier"]).withColumn("p_nom_opt", r("p_nom_opt"))
-
-
-@query("""WITH w AS (SELECT l_shipdate AS t, avg(l_discount) AS price FROM lineitem GROUP BY 1) SELECT o_orderstatus AS carrier, round(sum(o_totalprice * (1 + price)), 2) AS cost FROM orders JOIN w ON w.t = o_orderdate GROUP BY 1""")
-def dynamic_price_costs(c):
-    w = c.lineitem.groupBy(F.col("l_shipdate").alias("o_orderdate")).agg(F.avg("l_discount").alias("price"))
-    return c.orders.join(w, "o_orderdate").groupBy(F.col("o_orderstatus").alias("carrier")).agg(r(F.sum(F.col("o_totalprice") * (1 + F.col("price"))), 2).alias("cost"))
-
-
 # ----------------------------------------------------- costs, energy, heat
 @query("""WITH p AS (SELECT p_partkey AS technology, p_retailprice AS inv, (p_size % 3)::DOUBLE AS fom, CASE WHEN p_size % 2 = 0 THEN p_size + 5.0 ELSE 25.0 END AS life FROM part)
  SELECT technology, round((0.07 / (1 - 1 / pow(1.07, life)) + fom / 100) * inv, 4) AS capital_cost, round(1.5 + 20.0 / 0.4, 4) AS marginal_cost FROM p""")
@@ -795,4 +738,4 @@ def retrofit_measure(c):
     return sectors.cheapest_measure(d, ["k"], 0.4)
 
 
-from . import queries_constraints  # noqa: E402, F401  more queries register themselves
+from . import queries_constraints, queries_statistics  # noqa: E402, F401  more queries register themselves
