@@ -8,7 +8,7 @@ Counts of documents by bucket and label cover every training row.  A bucket's re
 c / (c + ``SOFT``), c the chi-squared statistic between label and presence: near 1 for telling
 terms, some hundredths for others, 0 for a bucket that no training row holds.  Every one of
 the 2^``BITS`` buckets has its own weights (8 factors and a linear one, with the relevance
-21 MB in all), so no term is left out.  The weights are fitted on a sample of ``max_rows``
+10 MB in all), so no term is left out.  The weights are fitted on a sample of ``max_rows``
 expected labelled rows, drawn by a seeded hash of doc_id, so that a rerun takes the same.
 
 Edge cases: null or empty text has no terms and scores the model's bias; rows with a
@@ -103,15 +103,13 @@ def term_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def relevance(counts, bits: int = BITS) -> tuple[np.ndarray, int]:
+def relevance(counts: pa.Table, bits: int = BITS) -> tuple[np.ndarray, int]:
     """(each bucket's relevance, training rows)."""
+    bucket, count, marked = (counts.column(c).to_numpy() for c in ("bucket", "n", "toxic"))
+    every = bucket < 0
+    docs, toxic = int(count[every].sum()), int(marked[every].sum())
     n, tox = np.zeros(1 << bits), np.zeros(1 << bits)
-    docs = toxic = 0
-    for r in counts:
-        if r["bucket"] < 0:
-            docs, toxic = r["n"], r["toxic"]
-        else:
-            n[r["bucket"]], tox[r["bucket"]] = r["n"], r["toxic"]
+    n[bucket[~every]], tox[bucket[~every]] = count[~every], marked[~every]
     share = toxic / max(docs, 1)
     spread = n * share * (1 - share) * (1 - n / max(docs, 1))
     stat = (tox - n * share) ** 2 / np.maximum(spread, 1e-9)
@@ -123,56 +121,59 @@ class Machine:
 
     def __init__(self, x: np.ndarray, factors: int = 8, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.x, self.w0, self.w = x, 0.0, np.zeros(len(x))
-        self.v = rng.normal(0, 0.05, (len(x), factors))
+        self.x, self.w0, self.w = x.astype(np.float32), 0.0, np.zeros(len(x), np.float32)
+        self.v = rng.normal(0, 0.05, (len(x), factors)).astype(np.float32)
 
     def raw(self, at: np.ndarray, term: np.ndarray, own: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the sigmoid of the documents whose terms are term[at[i]:at[i + 1]], and
         their factor sums; ``own``: the (x, w, v) that ``term`` points into."""
         x, w, v = own or (self.x, self.w, self.v)
         some = np.flatnonzero(np.diff(at))
-        z, s = np.full(len(at) - 1, self.w0), np.zeros((len(at) - 1, v.shape[1]))
+        z, s = np.full(len(at) - 1, self.w0), np.zeros((len(at) - 1, v.shape[1]), np.float32)
         if len(some):
-            part = v[term] * x[term, None]
+            part = (v * x[:, None])[term] if own else v[term] * x[term, None]
             s[some] = np.add.reduceat(part, at[some], axis=0)
             z[some] += np.add.reduceat((w * x)[term] - 0.5 * np.einsum("ij,ij->i", part, part), at[some])
             z += 0.5 * np.einsum("ij,ij->i", s, s)
         return z, s
 
-    def fit(self, at: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 512, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
-        """Logistic loss, AdaGrad over minibatches that touch only the weights of their own terms."""
+    def fit(self, at: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
+        """Logistic loss, AdaGrad over minibatches (drawn once, their order anew in each epoch) that
+        touch only the weights of their own terms."""
         rng, n = np.random.default_rng(seed), len(y)
         share = (y.sum() + 1) / (n + 2)
         self.w0 = float(np.log(share / (1 - share)))
         if y.min(initial=1) == y.max(initial=0):
             return
-        gw, gv, g0 = np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8), 1e-8
+        steps = []
+        order = rng.permutation(n)
+        for lo in range(0, n, batch):
+            rows = order[lo : lo + batch]
+            size = at[rows + 1] - at[rows]
+            ends = np.r_[0, np.cumsum(size)]
+            t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(at[rows], size)]
+            use, ix = np.unique(t, return_inverse=True)
+            by = np.argsort(ix, kind="stable")
+            # Terms as places in ``use``, and the documents of each term, one after another.
+            steps.append((rows, ends, use, ix.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), size)[by], np.searchsorted(ix[by], np.arange(len(use)))))
+        gw, gv, g0 = np.full(len(self.w), 1e-8, np.float32), np.full(self.v.shape, 1e-8, np.float32), 1e-8
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for lo in range(0, n, batch):
-                rows = order[lo : lo + batch]
-                size = at[rows + 1] - at[rows]
-                ends = np.r_[0, np.cumsum(size)]
-                t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(at[rows], size)]
-                use, ix = np.unique(t, return_inverse=True)
+            for k in rng.permutation(len(steps)):
+                rows, ends, use, ix, docs, cut = steps[k]
                 x, w, v = self.x[use], self.w[use], self.v[use]
                 z, s = self.raw(ends, ix, (x, w, v))
-                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
+                err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)).astype(np.float32)
                 if len(use):
-                    d = np.repeat(np.arange(len(rows)), size)
-                    by = np.argsort(ix, kind="stable")
-                    cut = np.searchsorted(ix[by], np.arange(len(use)))
-                    e = err[d]
                     # The derivative by v_t is x_t (the document's factor sum less x_t v_t).
-                    total = np.add.reduceat(e[by], cut) * x
+                    total = np.add.reduceat(err[docs], cut) * x
                     dw = total + l2 * w
-                    dv = np.add.reduceat((e[:, None] * s[d])[by], cut, axis=0) * x[:, None] - (total * x)[:, None] * v + l2 * v
+                    dv = np.add.reduceat((err[:, None] * s)[docs], cut, axis=0) * x[:, None] - (total * x)[:, None] * v + l2 * v
                     gw[use] += dw**2
                     gv[use] += dv**2
                     self.w[use] = w - rate * dw / np.sqrt(gw[use])
                     self.v[use] = v - rate * dv / np.sqrt(gv[use])
-                g0 += err.sum() ** 2
-                self.w0 -= rate * err.sum() / np.sqrt(g0)
+                g0 += float(err.sum()) ** 2
+                self.w0 -= rate * float(err.sum()) / np.sqrt(g0)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
@@ -182,16 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: i
     300 of 4 bytes a row.
     """
     rows = materialise(training_rows(docs, labels, mod, keep), "tox")
-    x, total = relevance(term_counts(rows).collect())
+    x, total = relevance(term_counts(rows).toArrow())
     # A seeded share of the rows, so that max_rows are expected at most and no sort is needed.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fm")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))
-    sample = rows.where(drawn).select("terms", "toxic", F.md5(F.concat_ws(":", F.col("doc_id"), F.col("terms").cast("string"))).alias("k"))
-    got = sample.toArrow().sort_by("k")
+    sample = rows.where(drawn).select("terms", "toxic", F.xxhash64("doc_id", "terms").alias("k"))
+    got = sample.toArrow()
+    got = got.take(pa.array(np.lexsort((got.column("toxic").to_numpy(), got.column("k").to_numpy()))))  # in one order, however it came
     y = got.column("toxic").to_numpy().astype(np.float64)
     lists = got.column("terms").combine_chunks()
     m = Machine(x, factors)
     if len(y):
-        m.fit(np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), lists.flatten().to_numpy().astype(np.int64), y)
+        m.fit(np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), lists.flatten().to_numpy(), y)
     return m
 
 
