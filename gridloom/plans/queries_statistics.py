@@ -237,7 +237,7 @@ def discounted_costs_by_period(c):
     return st.discounted(y, [k / 100 for k in range(10)], 1992).withColumn("cost", r("cost", 2))
 
 
-@query("WITH d AS (SELECT p_type AS carrier, p_size % 3 AS col, sum(CASE WHEN p_partkey % 4 = 0 THEN -p_retailprice ELSE p_size * 1.0 END) AS value FROM part GROUP BY 1, 2) SELECT carrier, col, round(value, 2) AS value FROM d WHERE carrier IN (SELECT carrier FROM d GROUP BY 1 HAVING max(value) >= 20)")
+@query("WITH d AS (SELECT p_type AS carrier, p_size % 3 AS col, sum(CASE WHEN p_partkey % 4 = 0 THEN -p_size * 2.0 ELSE p_size * 1.0 END) AS value FROM part GROUP BY 1, 2) SELECT carrier, col, round(value, 2) AS value FROM d WHERE carrier IN (SELECT carrier FROM d GROUP BY 1 HAVING max(value) >= 20)")
 def threshold_drop(c):
-    d = c.part.select(F.col("p_type").alias("carrier"), (F.col("p_size") % 3).alias("col"), F.when(F.col("p_partkey") % 4 == 0, -F.col("p_retailprice")).otherwise(F.col("p_size") * 1.0).alias("value"))
+    d = c.part.select(F.col("p_type").alias("carrier"), (F.col("p_size") % 3).alias("col"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") * -2.0).otherwise(F.col("p_size") * 1.0).alias("value"))
     return st.drop_small(d, ["carrier"], "value", 20.0, ["col"]).withColumn("value", r("value", 2))
