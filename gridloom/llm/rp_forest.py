@@ -4,7 +4,7 @@ Every tree splits by a random direction per level and, in every node, the median
 bounded sample (``sample_rows``) along it.  All rows are indexed: each gets one leaf per
 tree.  A query visits the (tree, leaf) pairs of all trees in one order of priority, the
 squared distance to the violated splits, until the leaves visited hold
-``share`` of the rows; since leaf sizes are known, the queue's end is one priority per
+``share`` times the rows; since leaf sizes are known, the queue's end is one priority per
 query.  Rows of the visited leaves are reranked by their exact inner product; a pair is
 scored in the first tree whose leaf holds it, and a task returns no row under the 2k-th
 best of the sample.  Queries left with fewer than k rows by that are searched once more
@@ -15,8 +15,9 @@ a task holds one block and one range, and returns k rows per query.  Leaves with
 than ``CELL`` rows (copies of one vector) are salted.  The driver holds the sample, the
 splits and the leaf sizes, all bounded by parameters.
 
-Edge cases: rows with a null id, and vectors that are null, zero, of another length than
-most, or hold null or non-finite components take no part; repeated ids count once per
+Edge cases: rows with a null id, and vectors that are null, zero or hold null or non-finite
+components take no part; vectors of different lengths have no inner product, so each
+length is searched apart; repeated ids count once per
 query, and a query's own id is never its neighbour; equal scores go by the smaller id;
 an empty table gives an empty result; other columns are not read.
 """
@@ -122,25 +123,29 @@ def _nearest(q, qid, x, xid, sel, leaf_of, earlier, k, out):
     out.append((r, xid[c], exact))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, share: float = 0.85, least: int = 4096, sample_rows: int = 16384, leaf_rows: int = 48, max_depth: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score; ``share`` trades work for recall (0.85: at least 0.9
-    even on structureless data), and at least ``least`` rows are visited."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, share: float = 1.4, sample_rows: int = 65536, leaf_rows: int = 24, max_depth: int = 13, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score.  The queue ends when the leaves visited, over all trees, hold
+    ``share`` times the rows (a row counts in every tree that it is met in), at every size: it
+    trades work for recall (1.4: at least 0.9 even on structureless data)."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("isq"))
     v = v.where(F.col("id").isNotNull() & usable(F.col("vec")))
-    dims = v.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").take(1)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return spark.createDataFrame([], schema)
-    dim, n = dims[0]["dim"], dims[0]["n"]
-    v = v.where(F.size("vec") == dim)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in v.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row for each length
+        out = out.unionByName(_search(v.where(F.size("vec") == r["dim"]), r["dim"], r["n"], k, trees, share, sample_rows, leaf_rows, max_depth))
+    return out
+
+
+def _search(v: DataFrame, dim: int, n: int, k: int, trees: int, share: float, sample_rows: int, leaf_rows: int, max_depth: int) -> DataFrame:
+    spark = v.sparkSession
     drawn = F.pmod(F.xxhash64("id", F.lit("rp")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / n))
     drawn_rows = v.where(drawn).select("id", "vec").limit(2 * sample_rows).toArrow().sort_by("id")
     sample, sample_id = _matrix(drawn_rows.column("vec")), drawn_rows.column("id").to_numpy()
     depth = int(np.clip(np.floor(np.log2(max(n / leaf_rows, 2))), 1, min(max_depth, np.log2(max(len(sample) / 8, 2)))))
     forest = Forest(sample if len(sample) else np.zeros((1, dim)), trees, depth)
     bc = spark.sparkContext.broadcast(forest)
-    bc_sample = spark.sparkContext.broadcast((sample, sample_id))  # at most 2 x sample_rows
+    few = slice(None, None, max(1, len(sample) // 8192))
+    bc_sample = spark.sparkContext.broadcast((sample[few], sample_id[few]))  # at most 16,384 rows, for a first bound of the scores
 
     def place(batches):
         for b in batches:
@@ -155,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, sh
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in placed_once.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"], r["leaf"]] = r["count"]
-    budget = max(least, share * n)
+    budget = share * n
 
     # Ranges of leaves of about CELL rows; a leaf beyond that is a range of its own, salted.
     cell = np.zeros((trees, 1 << depth), np.int64)
