@@ -6,20 +6,24 @@ strings.  Equal windows have equal anchors at equal offsets, so windows fall int
 classes, (anchor, offset), that can be treated apart: the suffixes of a class are already
 aligned.  Anchors that occur once in the corpus are dropped after an exact count.
 
-Merging.  The segments around one anchor, from all documents, are a text collection.
-Its transform is built column by column from the right, as for the transform of a set of
-strings: the order of the suffixes that start in column c + 1 is refined, by a stable
-partition on the symbols in column c (the transform's next column), into the order of
-those that start in column c.  This is the interleave refinement that merges shard
-transforms, and no suffix is sorted by its text.  Common prefixes follow with it: equal
-symbols extend the least common prefix between their old places by one.  Runs with
-common prefixes of 100 or more are the repeated intervals; all but the first start
-(smaller document, then earlier start) of a run are repeats.
-
-Shards.  A block of documents is a shard.  It builds and reduces its own transform
-first, so that of each distinct window one start leaves the shard; the merge of all
-shards then sees a string at most once per shard, even a line with a third of all
-occurrences.  Whole-text copies are found by their text, one document each going on.
+Transforms.  The segments around one anchor are a text collection.  Its transform is built
+column by column from the right, as for the transform of a set of strings: the order of the
+suffixes that start in column c + 1 is refined, by a stable partition on the symbols in
+column c (the transform's column c: symbols in the order of the suffixes after them), into
+the order of those that start in column c.  Common prefixes follow with it: equal symbols
+extend the least common prefix between their old places by one.  Runs with common prefixes
+of 100 or more are the repeated intervals; all but the first start (smaller document, then
+earlier start) of a run are repeats.
+
+Shards and their merge.  A block of documents is a shard.  It reduces its own collection
+first, so that of each distinct window one start leaves the shard, and emits the transform
+of what is left, not its text.  The merge of all shards keeps an interleave, for every place
+in the common order the shard that stands there, and refines it column by column: the next
+symbol of each place is read from its shard's transform in the shard's own order, a stable
+partition gives the next interleave, and common prefixes and repeated intervals follow as
+above.  No suffix is sorted anew, and a string is seen at most once per shard, even a line
+with a third of all occurrences.  Whole-text copies are found by their text, one document
+each going on.
 
 Edge cases: null text is empty; texts under 100 bytes lose nothing; rows with equal
 doc_id and text are one document and get one result each; equal doc_id with different
@@ -98,19 +102,23 @@ def _anchors(b: np.ndarray, offs: np.ndarray):
     return np.searchsorted(offs, lo, "right") - 1, h[at[lo]], at[lo], lo, hi
 
 
-def repeats(cls: np.ndarray, rank: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """(segments, REACH + 1) flags: the window that starts in this column repeats one of a
-    smaller rank.  ``cols``: (COLS, segments) symbols, PAD outside a segment."""
+def refine(cls: np.ndarray, rank: np.ndarray, column, shard: np.ndarray | None = None, flags: bool = True) -> np.ndarray:
+    """The interleave refinement of segments that stand by class, then by shard, then in their
+    shard's order.  ``column(c, order, slot)``: the symbols in column c in the order of the
+    suffixes of column c + 1, ``order`` being the segments there and ``slot`` the places of
+    their shards' transforms.  Returns (segments, REACH + 1) flags, the window that starts in
+    this column repeats one of a smaller rank; or, without ``flags``, the transform."""
     m = len(cls)
-    out = np.zeros((REACH + 1, m), bool)
-    order = np.lexsort((rank, cls))
-    c = cls[order]
+    out = np.zeros((REACH + 1, m), bool) if flags else np.empty((COLS, m), np.uint8)
+    order, slot = np.arange(m), np.arange(m)
     head = np.ones(m, bool)
-    head[1:] = c[1:] != c[:-1]
+    head[1:] = cls[1:] != cls[:-1]
     group = np.cumsum(head) - 1
     lcp = np.zeros(m, np.int32)
     for col in range(COLS - 1, -1, -1):
-        sym = cols[col][order]
+        sym = column(col, order, slot)
+        if not flags:
+            out[col] = sym
         differ = np.zeros(m, bool)
         differ[1:] = (sym[1:] != sym[:-1]) & ~head[1:]
         lcp += 1
@@ -120,29 +128,46 @@ def repeats(cls: np.ndarray, rank: np.ndarray, cols: np.ndarray) -> np.ndarray:
             at = np.flatnonzero(hit[group])
             key = group[at].astype(np.int64) << 8 | sym[at]
             perm = np.argsort(key, kind="stable")
-            old = lcp[at]
-            new = np.ones(len(at), np.int32)
-            same = np.flatnonzero(key[perm][1:] == key[perm][:-1])
-            if len(same):
-                # The least common prefix over the old places between two neighbours.
-                span = np.empty(2 * len(same), np.int64)
-                span[0::2], span[1::2] = perm[same] + 1, perm[same + 1] + 1
-                new[same + 1] = np.minimum.reduceat(np.r_[old, np.int32(1)], span)[0::2]
-            fresh = np.ones(len(at), bool)
-            fresh[same + 1] = False
-            new[fresh] = 0
-            lcp[at] = new
+            if flags:
+                old = lcp[at]
+                new = np.ones(len(at), np.int32)
+                same = np.flatnonzero(key[perm][1:] == key[perm][:-1])
+                if len(same):
+                    # The least common prefix over the old places between two neighbours.
+                    span = np.empty(2 * len(same), np.int64)
+                    span[0::2], span[1::2] = perm[same] + 1, perm[same + 1] + 1
+                    new[same + 1] = np.minimum.reduceat(np.r_[old, np.int32(1)], span)[0::2]
+                fresh = np.ones(len(at), bool)
+                fresh[same + 1] = False
+                new[fresh] = 0
+                lcp[at] = new
             order[at] = order[at[perm]]
             sym[at] = sym[at[perm]]
-        lcp[head] = 0
-        lcp[sym == PAD] = 0
-        if col <= REACH:
-            first = lcp < WIDTH
-            if not first.all():
-                begin = np.flatnonzero(first)
-                least = np.minimum.reduceat(rank[order], begin)
-                out[col, order] = rank[order] > np.repeat(least, np.diff(np.r_[begin, m]))
-    return out.T
+            if shard is not None:
+                # The new interleave: each shard's places are its transform's, in their order.
+                slot[at[np.argsort(group[at].astype(np.int64) << 32 | shard[order[at]], kind="stable")]] = at
+        if flags:
+            lcp[head] = 0
+            lcp[sym == PAD] = 0
+            if col <= REACH:
+                first = lcp < WIDTH
+                if not first.all():
+                    begin = np.flatnonzero(first)
+                    least = np.minimum.reduceat(rank[order], begin)
+                    out[col, order] = rank[order] > np.repeat(least, np.diff(np.r_[begin, m]))
+    return out.T if flags else out
+
+
+def columns_of(meta: np.ndarray, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(COLS, segments) symbols, PAD outside a segment; a segment's text begins in the column of
+    its first window."""
+    first = (REACH - (meta["at"] - meta["lo"])).astype(np.int64)
+    size = meta["n"].astype(np.int64) + WIDTH - 1
+    own = np.repeat(np.arange(len(meta)), size)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    cols = np.full((COLS, len(meta)), PAD, np.uint8)
+    cols[first[own] + step, own] = text[np.repeat(begin, size) + step]
+    return cols
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,46 +180,90 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, a, z - 1
 
 
-def reduce_segments(meta: np.ndarray, text: np.ndarray, batch: int = 1 << 14):
-    """Repeats among segments.  Returns removed (block, doc, h, start, end) and the meta and
-    texts of what is first.  ``text``: the segments' bytes, one after another."""
-    end = np.cumsum(meta["n"].astype(np.int64) + WIDTH - 1)
-    begin = end - (meta["n"] + WIDTH - 1)
-    _, cls = np.unique(meta["key"], return_inverse=True)
+def _ranks(meta: np.ndarray) -> np.ndarray:
     rank = np.empty(len(meta), np.int64)
     rank[np.lexsort((meta["at"], meta["h"], meta["doc"]))] = np.arange(len(meta))
-    by = np.argsort(cls, kind="stable")
+    return rank
+
+
+def _batches(cls: np.ndarray, by: np.ndarray, batch: int):
+    """Rows of whole classes, about ``batch`` at a time, in the order ``by``."""
     cut = np.flatnonzero(np.r_[True, cls[by][1:] != cls[by][:-1]]) if len(by) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(by)] if len(by) else cut
-    gone, kept_meta, kept_text = [], [], []
     i = 0
-    while i < len(cut):  # whole classes, about ``batch`` segments at a time
+    while i < len(cut):
         j = max(i + 1, int(np.searchsorted(ends, cut[i] + batch, "right")))
-        rows = by[cut[i] : ends[j - 1]]
+        yield by[cut[i] : ends[j - 1]]
+        i = j
+
+
+def _valid(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns in which a window of the segment starts, and the first of them."""
+    first = (REACH - (meta["at"] - meta["lo"])).astype(np.int64)
+    col = np.arange(REACH + 1)
+    return (col >= first[:, None]) & (col < (first + meta["n"])[:, None]), first
+
+
+def _gone(meta: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """(block, doc, h, start, end) of the bytes that the flagged windows cover."""
+    valid, first = _valid(meta)
+    r, a, z = _runs(flags & valid)
+    return np.stack([meta["block"][r], meta["doc"][r], meta["h"][r], meta["lo"][r] + a - first[r], meta["lo"][r] + z - first[r] + WIDTH]).astype(np.int64)
+
+
+def reduce_shard(meta: np.ndarray, text: np.ndarray, batch: int = 1 << 14):
+    """Repeats among a shard's segments, and the transform of what is first.
+
+    Returns removed (block, doc, h, start, end), the meta of the segments left, by class and
+    rank, and their transform (COLS, segments).  ``text``: the segments' bytes, one after another."""
+    end = np.cumsum(meta["n"].astype(np.int64) + WIDTH - 1)
+    begin = end - (meta["n"] + WIDTH - 1)
+    _, cls = np.unique(meta["key"], return_inverse=True)
+    rank = _ranks(meta)
+    gone, metas, bwts = [np.zeros((5, 0), np.int64)], [meta[:0]], [np.zeros((COLS, 0), np.uint8)]
+    for rows in _batches(cls, np.lexsort((rank, cls)), batch):
         part = meta[rows]
-        # A segment's text begins in the column of its first window.
-        first = (REACH - (part["at"] - part["lo"])).astype(np.int64)
-        size = part["n"].astype(np.int64) + WIDTH - 1
-        own = np.repeat(np.arange(len(rows)), size)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-        cols = np.full((COLS, len(rows)), PAD, np.uint8)
-        cols[first[own] + step, own] = text[np.repeat(begin[rows], size) + step]
-        flags = repeats(cls[rows], rank[rows], cols)
-        valid = (np.arange(REACH + 1) >= first[:, None]) & (np.arange(REACH + 1) < (first + part["n"])[:, None])
-        r, a, z = _runs(flags & valid)
-        gone.append(np.stack([part["block"][r], part["doc"][r], part["h"][r], part["lo"][r] + a - first[r], part["lo"][r] + z - first[r] + WIDTH]).astype(np.int64))
-        r, a, z = _runs(valid & ~flags)
+        cols = columns_of(part, begin[rows], text)
+        flags = refine(cls[rows], rank[rows], lambda c, order, slot, cols=cols: cols[c][order])
+        gone.append(_gone(part, flags))
+        valid, first = _valid(part)
+        r, a, z = _runs(valid & ~flags)  # by segment, so still by class and rank
         left = part[r].copy()
         left["lo"] += (a - first[r]).astype(np.int32)
         left["n"] = z - a + 1
         size = left["n"].astype(np.int64) + WIDTH - 1
-        src = begin[rows][r] + a - first[r]
-        kept_meta.append(left)
-        kept_text.append(text[np.repeat(src, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)])
-        i = j
-    if not gone:
-        return np.zeros((5, 0), np.int64), meta[:0], text[:0]
-    return np.concatenate(gone, 1), np.concatenate(kept_meta), np.concatenate(kept_text)
+        _, start = _valid(left)
+        kept = np.full((COLS, len(left)), PAD, np.uint8)
+        own = np.repeat(np.arange(len(left)), size)
+        place = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        kept[place, own] = cols[place, r[own]]
+        metas.append(left)
+        bwts.append(refine(cls[rows][r], rank[rows][r], lambda c, order, slot, kept=kept: kept[c][order], flags=False))
+    return np.concatenate(gone, 1), np.concatenate(metas), np.concatenate(bwts, 1)
+
+
+def merge_shards(metas: list[np.ndarray], bwts: list[np.ndarray], batch: int = 1 << 14) -> np.ndarray:
+    """Repeats between shards, (block, doc, h, start, end), from their transforms alone.  A class
+    that one shard has alone has nothing left to merge."""
+    meta = np.concatenate(metas)
+    shard = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
+    _, cls = np.unique(meta["key"], return_inverse=True)
+    rank = _ranks(meta)
+    by = np.lexsort((np.arange(len(meta)), shard, cls))
+    c, s = cls[by], shard[by]
+    lone = np.ones(int(cls.max(initial=-1)) + 1, bool)
+    lone[c[1:][(c[1:] == c[:-1]) & (s[1:] != s[:-1])]] = False
+    by = by[~lone[c]]
+    base = np.cumsum([0, *(len(m) for m in metas)])
+    gone = [np.zeros((5, 0), np.int64)]
+    for rows in _batches(cls, by, batch):
+        bwt = np.empty((COLS, len(rows)), np.uint8)
+        for i in np.unique(shard[rows]):
+            own = np.flatnonzero(shard[rows] == i)
+            bwt[:, own] = bwts[i][:, rows[own] - base[i]]
+        flags = refine(cls[rows], rank[rows], lambda c, order, slot, bwt=bwt: bwt[c][slot], shard[rows])
+        gone.append(_gone(meta[rows], flags))
+    return np.concatenate(gone, 1)
 
 
 def _by(dest: np.ndarray):
@@ -239,7 +308,7 @@ def _run(docs: DataFrame, texts: bool) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(1, -(-size // BLOCK_BYTES), min(partitions(spark), size >> 20)))
-    buckets = partitions(spark)
+    buckets = int(max(partitions(spark), size >> 25))  # about 32 MB of text each
     d = d.withColumn("h", F.xxhash64("text")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
 
     def count(batches):
@@ -290,7 +359,7 @@ def _run(docs: DataFrame, texts: bool) -> DataFrame:
     sent = d.mapInArrow(gather, "block int, h long, text string, ids array<long>")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("text", pa.binary()), ("gone", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("bwt", pa.binary()), ("gone", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         block = left.column("block")[0].as_py()
@@ -309,26 +378,22 @@ def _run(docs: DataFrame, texts: bool) -> DataFrame:
             metas.append(m)
         if not metas:
             return schema.empty_table()
-        gone, meta, text = reduce_segments(np.concatenate(metas), np.concatenate(segs))
-        end = np.cumsum(meta["n"].astype(np.int64) + WIDTH - 1)
-        begin = end - (meta["n"] + WIDTH - 1)
+        gone, meta, bwt = reduce_shard(np.concatenate(metas), np.concatenate(segs))
         rows = [(-1 - block, None, None, np.ascontiguousarray(gone).tobytes())]
         for t, r in _by((meta["key"] % U64(buckets)).astype(np.int64)):
-            n = end[r] - begin[r]
-            rows.append((t, meta[r].tobytes(), text[np.repeat(begin[r], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].tobytes(), None))
+            rows.append((t, meta[r].tobytes(), pa.compress(np.ascontiguousarray(bwt[:, r]).tobytes(), codec="zstd", asbytes=True), None))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    shards = materialise(sent.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(cut, "bucket long, meta binary, text binary, gone binary"), "bwt")
+    shards = materialise(sent.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(cut, "bucket long, meta binary, bwt binary, gone binary"), "bwt")
 
     def merge(t: pa.Table) -> pa.Table:
-        meta = np.frombuffer(b"".join(t.column("meta").to_pylist()), META)
-        text = np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8)
-        # Anchors of one shard only have nothing left to merge.
-        gone, _, _ = reduce_segments(meta, text)
+        metas = [np.frombuffer(x, META) for x in t.column("meta").to_pylist()]
+        bwts = [np.frombuffer(pa.decompress(x, COLS * len(m), codec="zstd", asbytes=True), np.uint8).reshape(COLS, -1) for x, m in zip(t.column("bwt").to_pylist(), metas)]
+        gone = merge_shards(metas, bwts)
         rows = [(b, np.ascontiguousarray(gone[:, r]).tobytes()) for b, r in _by(gone[0])]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "gone"])
 
-    merged = shards.where("bucket >= 0").select("bucket", "meta", "text").groupBy("bucket").applyInArrow(merge, "block int, gone binary")
+    merged = shards.where("bucket >= 0").select("bucket", "meta", "bwt").groupBy("bucket").applyInArrow(merge, "block int, gone binary")
     own = shards.where("bucket < 0").select((-1 - F.col("bucket")).cast("int").alias("block"), "gone")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
