@@ -83,3 +83,8 @@ def hydro_inflow(inflow: DataFrame, plants: DataFrame, country: str, time: str,
     """A country's inflow split over its plants by rated power."""
     p = plants.select(country, "plant", normed(F.col("p_nom"), country).alias("share"))
     return inflow.join(p, country).select("plant", time, (F.col(value) * F.col("share")).alias("inflow"))
+
+
+def everywhere(buses: DataFrame, carriers: DataFrame) -> DataFrame:
+    """A plant without capacity of every carrier at every bus."""
+    return buses.crossJoin(carriers).withColumn("p_nom", F.lit(0.0))  # the product is what is asked for

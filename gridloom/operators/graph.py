@@ -1,21 +1,35 @@
 """Graphs as edge tables: components, closure, relaxations, stubs, busmaps.
 
-Iterations are driver loops over distributed steps; lineage is cut by checkpoint().
+Iterations are driver loops over distributed steps; lineage is cut by written tables.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that all executors share and read back: its lineage ends
+    there, with the plan's size estimates, which would multiply with every round of joins."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_cut = cut
 
 
 def canonical_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,18 +38,26 @@ def canonical_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id) and (a, b) -> id, component: the least id reachable; isolated nodes included."""
-    both = _cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    lab = _cut(nodes.select("id", F.col("id").alias("component")))
+    """(id) and (a, b) -> id, component: the least id reachable; isolated nodes included.
+
+    Alternates two steps until no edge changes: every node sends its greater neighbours to the
+    least of its neighbourhood, then its lesser ones.  Long paths halve, so rounds grow with
+    their logarithm; minima are partial aggregates, and the join back to a hot node's edges
+    is by broadcast or skew handling, as the optimizer sees its size.
+    """
+    e = _cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
-        near = both.join(lab, both["b"] == lab["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = lab.join(near, lab["id"] == near["a"], "left").select("id", "component", F.least("component", "m").alias("new"))
-        # Pointer jump: the label's own label.
-        own = step.select(F.col("id").alias("_i"), F.col("new").alias("_n"))
-        step = _cut(step.join(own, step["new"] == own["_i"], "left").select("id", "component", F.least("new", "_n").alias("new")))
-        lab = step.select("id", F.col("new").alias("component"))
-        if not step.where("new <> component").take(1):
-            return lab
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        new = _cut(large.join(low, "a").select(F.explode(pair).alias("p")).select("p.a", "p.b").where("a <> b").distinct())
+        same = not new.exceptAll(e).take(1) and not e.exceptAll(new).take(1)
+        e = new
+        if same:
+            lab = e.groupBy(F.col("a").alias("_i")).agg(F.min("b").alias("_c"))
+            return nodes.select("id").join(lab, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_c", "id").alias("component"))
     raise RuntimeError("components did not settle")
 
 

@@ -44,6 +44,31 @@ def shift_fill(df: DataFrame, key: list[str], time: str, value: str, shift: str,
     return df.join(past, [*key, time], "left").withColumn(out, F.coalesce(value, "_past")).drop("_past")
 
 
+def copy_slices(df: DataFrame, key: list[str], time: str, value: str, rules: DataFrame) -> DataFrame:
+    """(key.., start, stop, delta): the rows of a key from start to stop take the values of delta
+    earlier.  A rule whose slice is not wholly in the series changes nothing; of several rules for
+    a row the one that starts last counts."""
+    have = df.select(*key, F.col(time).alias("_t")).distinct()
+    r = rules.withColumn("_id", F.monotonically_increasing_id())
+    ends = r.select("_id", *key, F.explode(F.expr("array(start, stop, start - delta, stop - delta)")).alias("_t")).join(have, [*key, "_t"]).groupBy("_id").agg(F.countDistinct("_t").alias("_n"), F.count("*").alias("_m"))
+    r = rules.withColumn("_id", F.monotonically_increasing_id()).join(ends.where("_m = 4").select("_id"), "_id", "left_semi")
+    d = df.join(r, key, "left").where(F.col("start").isNull() | F.col(time).isNotNull())
+    inside = F.col(time).between(F.col("start"), F.col("stop"))
+    best = d.groupBy(*df.columns).agg(F.max(F.when(inside, F.struct("start", "delta"))).alias("_r"))
+    past = df.select(*key, F.col(time).alias("_src"), F.col(value).alias("_v"))
+    j = best.withColumn("_src", F.col(time) - F.col("_r.delta")).join(past, [*key, "_src"], "left")
+    return j.select(*[F.when(F.col("_r").isNotNull(), F.col("_v")).otherwise(F.col(c)).alias(c) if c == value else F.col(c) for c in df.columns])
+
+
+def substitute(df: DataFrame, key: str, time: str, value: str, rules: DataFrame) -> DataFrame:
+    """(to, source, factor): a series that is missing, or NULL for over half of its rows, becomes
+    factor times the source's."""
+    null = df.groupBy(F.col(key).alias("to")).agg((F.avg(F.col(value).isNull().cast("double")) <= 0.5).alias("fine"))
+    need = rules.join(null.where("fine").select("to"), "to", "left_anti")
+    new = df.withColumnRenamed(key, "source").join(need, "source").select(F.col("to").alias(key), time, (F.col(value) * F.col("factor")).alias(value))
+    return df.join(need.select(F.col("to").alias(key)), key, "left_anti").select(key, time, value).unionByName(new)
+
+
 def asof(left: DataFrame, right: DataFrame, time: str, value: str, by: list[str] | None = None, bfill: bool = False) -> DataFrame:
     """``left`` with the latest value of ``right`` at or before its time (with ``bfill``,
     else the next one).  Both sides are sorted once per key; nothing is broadcast.  Give a

@@ -162,45 +162,16 @@ def annuity(c):
     return c.part.select("p_partkey", r(scalars.annuity((F.col("p_size") + 1).cast("double"), rate), 8).alias("a"))
 
 
-@query("""WITH e AS (SELECT p_partkey, p_retailprice AS x FROM part), q AS (SELECT quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.9) AS b FROM e)
- SELECT CASE WHEN x <= a THEN 'low' WHEN x <= b THEN 'mid' ELSE 'high' END AS class, count(*) AS n FROM e, q GROUP BY 1""")
-def efficiency_classes(c):
-    q = c.part.agg(F.expr("percentile(p_retailprice, 0.1)").alias("a"), F.expr("percentile(p_retailprice, 0.9)").alias("b"))
-    k = F.when(F.col("p_retailprice") <= F.col("a"), "low").when(F.col("p_retailprice") <= F.col("b"), "mid").otherwise("high")
-    return c.part.crossJoin(F.broadcast(q)).groupBy(k.alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT g, count(*) AS n FROM (SELECT CASE WHEN y <= 1993 THEN 1993 WHEN y <= 1995 THEN 1995 WHEN y <= 1997 THEN 1997 END AS g FROM (SELECT year(o_orderdate) AS y FROM orders)) GROUP BY 1""")
 def vintage_bins(c):
     return allocation.vintage_bins(c.orders.select(F.year("o_orderdate").alias("y")), "y", [1993, 1995, 1997], "g").groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT *, min(p_retailprice) OVER w - 0.001 AS lo, max(p_retailprice) OVER w + 0.001 AS hi FROM part WINDOW w AS (PARTITION BY p_type))
- SELECT p_type, bin, count(*) AS n FROM (SELECT p_type, (floor((p_retailprice - lo) / ((hi - lo) / 4)) + 1)::BIGINT AS bin FROM w) GROUP BY ALL""")
-def resource_bins(c):
-    w = W.partitionBy("p_type")
-    p = c.part.select("p_type", "p_retailprice", (F.min("p_retailprice").over(w) - 1e-3).alias("lo"), (F.max("p_retailprice").over(w) + 1e-3).alias("hi"))
-    return p.groupBy("p_type", F.width_bucket("p_retailprice", "lo", "hi", F.lit(4)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT level, substr(p_brand, 1, level::INT) AS code, round(sum(p_retailprice), 2) AS v FROM part, (SELECT unnest([5, 6, 7, 8]) AS level) WHERE length(p_brand) >= level GROUP BY ALL""")
 def prefix_rollup(c):
     return frames.prefix_rollup(c.part.withColumnRenamed("p_retailprice", "v"), "p_brand", "v", (5, 8)).withColumn("v", r("v", 2))
 
 
-@query("""SELECT coalesce(r_name, 'tot') AS region, coalesce(n_name, 'tot') AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)""")
-def grouping_tot(c):
-    j = c.customer.join(c.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(c.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.rollup("r_name", "n_name").agg(F.count("*").alias("n"), r(F.sum("c_acctbal"), 2).alias("v")).select(F.coalesce("r_name", F.lit("tot")).alias("region"), F.coalesce("n_name", F.lit("tot")).alias("nation"), "n", "v")
-
-
-@query("""WITH y AS (SELECT o_orderpriority AS k, year(o_orderdate) AS x, sum(o_totalprice) AS y FROM orders WHERE year(o_orderdate) < 1998 GROUP BY ALL)
- SELECT k, round(regr_slope(y, x), 2) AS slope, round(regr_slope(y, x) * 1998 + regr_intercept(y, x), 0) AS pred FROM y GROUP BY 1""")
-def linear_fit_predict(c):
-    y = c.orders.where(F.year("o_orderdate") < 1998).groupBy(F.col("o_orderpriority").alias("k"), F.year("o_orderdate").alias("x")).agg(F.sum("o_totalprice").alias("y"))
-    return y.groupBy("k").agg(r(F.regr_slope("y", "x"), 2).alias("slope"), r(F.regr_slope("y", "x") * 1998 + F.regr_intercept("y", "x"), 0).alias("pred"))
-
-
 @query("""WITH b AS (SELECT p_partkey, p_retailprice AS v FROM part), u AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.5 END AS v FROM part WHERE p_partkey % 3 = 0)
  SELECT b.p_partkey, round(coalesce(u.v, b.v), 4) AS v FROM b LEFT JOIN u USING (p_partkey)""")
 def update_values(c):
@@ -226,19 +197,6 @@ def capacity_gap(c):
     return allocation.capacity_gap(g, t, "ct", "node", "pot", "have", "target").withColumn("added", r("added", 6))
 
 
-@query("""WITH a AS (SELECT p_partkey AS name, p_size::DOUBLE AS p_nom_opt, 1980 + p_partkey % 40 AS build_year, CASE WHEN p_partkey % 9 = 0 THEN 'inf'::DOUBLE ELSE (20 + p_partkey % 30)::DOUBLE END AS lifetime FROM part)
- SELECT name, p_nom_opt AS p_nom, false AS p_nom_extendable FROM a WHERE lifetime < 'inf'::DOUBLE AND build_year + lifetime > 2030 AND p_nom_opt > 10""")
-def brownfield(c):
-    a = c.part.select(F.col("p_partkey").alias("name"), F.col("p_size").cast("double").alias("p_nom_opt"), (F.col("p_partkey") % 40 + 1980).alias("build_year"), F.when(F.col("p_partkey") % 9 == 0, float("inf")).otherwise((F.col("p_partkey") % 30 + 20).cast("double")).alias("lifetime"))
-    return allocation.brownfield(a, 2030).select("name", "p_nom", "p_nom_extendable")
-
-
-@query("""SELECT c_nationkey, c_custkey, sum(w) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS UNBOUNDED PRECEDING) > 0.4 * sum(w) OVER (PARTITION BY c_nationkey) AS urban FROM (SELECT *, (c_custkey % 11 + 1)::DOUBLE AS w FROM customer)""")
-def density_cut(c):
-    d = c.customer.select("c_nationkey", "c_custkey", F.struct("c_acctbal", "c_custkey").alias("o"), (F.col("c_custkey") % 11 + 1).cast("double").alias("w"))
-    return allocation.density_cut(d, "c_nationkey", "o", "w", 0.4).select("c_nationkey", "c_custkey", "urban")
-
-
 # ------------------------------------------------------------------- temporal
 @query(f"""WITH {_H}, i AS (SELECT *, count(v) OVER (PARTITION BY event_type ORDER BY t) AS isl FROM h)
  SELECT event_type, t, CASE WHEN v IS NULL THEN count(*) FILTER (WHERE v IS NULL) OVER (PARTITION BY event_type, isl) ELSE 0 END AS gap_len FROM i""")
@@ -259,14 +217,6 @@ def shift_fill_1w(c):
     return temporal.shift_fill(hourly(c), ["event_type"], "t", "v", "7 days", "filled").select("event_type", "t", r("filled", 6).alias("filled"))
 
 
-@query("""WITH p AS (SELECT event_type, date_trunc('day', ts) AS t, avg(value) AS price FROM events GROUP BY ALL), s AS (SELECT e.event_id, e.event_type, e.ts FROM events e WHERE event_id % 3 = 0)
- SELECT s.event_id, round(p.price, 6) AS price FROM s ASOF LEFT JOIN p ON s.event_type = p.event_type AND s.ts >= p.t""")
-def asof_price(c):
-    p = c.events.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("price"))
-    s = c.events.where("event_id % 3 = 0").select("event_id", "event_type", "ts")
-    return temporal.asof(s, p, "ts", "price", ["event_type"]).select("event_id", r("price", 6).alias("price"))
-
-
 @query("SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, round(avg(value), 6) AS value, round(sum(user_id), 4) AS w FROM events GROUP BY ALL")
 def resample_3h(c):
     d = temporal.nhour(c.events.withColumn("w", F.col("user_id").cast("double")), ["event_type"], "ts", 3, ["value"], ["w"])
@@ -361,12 +311,6 @@ def degree_factor(c):
 
 
 # ------------------------------------------------------------------- cleaning
-@query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower(source || ' 380 kV/' || (doc_id % 400)::VARCHAR), '400/220/110''', '400000;220000;110000'), 'medium', '33000'), 'low', '1000'), 'kv', '000'), '/', ';'), ',', ';'), ' ', ''), '[^0-9;]', '', 'g') AS v FROM documents""")
-def clean_tags(c):
-    v = F.concat("source", F.lit(" 380 kV/"), (F.col("doc_id") % 400).cast("string"))
-    return c.documents.select("doc_id", cleaning.clean_numbers(v).alias("v"))
-
-
 @query("""SELECT CASE WHEN n > 1 THEN id || '-' || i::VARCHAR ELSE id END AS id, v, w FROM (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS n, unnest(CASE WHEN p_partkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS i,
  unnest(CASE WHEN p_partkey % 2 = 0 THEN ['220', '380'] ELSE ['110'] END) AS v, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['3', '6'] ELSE ['3'] END) AS w FROM part)""")
 def split_cells(c):
@@ -386,42 +330,11 @@ def dedup_concat_country(c):
     return cleaning.dedup_concat(c.documents, "source", "lang", ["doc_id"])
 
 
-@query("SELECT p_partkey, CASE WHEN rn > 0 THEN p_brand || ' ' || rn::VARCHAR ELSE p_brand END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS rn FROM part)")
-def name_dedup_suffix(c):
-    return cleaning.suffix_names(c.part.select("p_partkey", "p_brand", F.col("p_brand").alias("name")), ["p_brand"], "name", ["p_partkey"]).select("p_partkey", "name")
-
-
 @query("""SELECT p_partkey, arg_min(n, d * 1000 + i) AS type FROM (SELECT p_partkey, abs(p_size * 10.0 - x) AS d, i, n FROM part, (VALUES (220.0, 0, 'a'), (300.0, 1, 'b'), (380.0, 2, 'c')) t(x, i, n)) GROUP BY 1""")
 def nearest_type(c):
     return frames.closest(c.part.select("p_partkey", (F.col("p_size") * 10.0).alias("v")), "v", [(220.0, "a"), (300.0, "b"), (380.0, "c")], "type").select("p_partkey", "type")
 
 
-_V = [("grid", "1.0", "primary", "latest supported", "2024-01-01", None), ("grid", "0.9", "primary", "deprecated", "2023-01-01", None), ("grid", "1.0", "archive", "latest", "2024-01-01", "https://a"), ("load", "2", "archive", "latest", "2024-02-01", None), ("load", "2", "archive", "latest", "2024-02-01", "https://b"), ("wind", "V3", "build", "might-work", "2024-03-01", None)]
-_VS = "v(dataset, version, source, tags, added, url) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in _V) + ")"
-
-
-def registry(c) -> DataFrame:
-    return c.spark.createDataFrame(_V, "dataset string, version string, source string, tags string, added string, url string")
-
-
-@query(f"WITH {_VS} SELECT version, url FROM v WHERE dataset = 'grid' AND source = 'archive' AND list_contains(string_split(tags, ' '), 'latest')")
-def versions_latest(c):
-    return cleaning.resolve_version(registry(c), "grid", "archive").select("version", "url")
-
-
-@query(f"""WITH {_VS} SELECT 'repeated' AS rule, dataset, source, count(*) AS n FROM v GROUP BY dataset, version, source HAVING count(*) > 1 UNION ALL SELECT 'no url', dataset, source, count(*) FROM v WHERE source = 'archive' AND url IS NULL GROUP BY 2, 3
- UNION ALL SELECT 'latest', dataset, source, count(*) FROM v WHERE list_contains(string_split(tags, ' '), 'latest') GROUP BY 2, 3 HAVING count(*) > 1 UNION ALL SELECT 'version', dataset, source, count(*) FROM v WHERE NOT regexp_matches(version, '^[a-z0-9_\\-\\.]+$') GROUP BY 2, 3""")
-def versions_contract(c):
-    return cleaning.registry_faults(registry(c))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'CCGT' WHEN p_size % 4 = 1 THEN 'OCGT' WHEN p_size % 4 = 2 THEN 'CCGT' ELSE 'Hard Coal' END AS fuel FROM part")
-def repair_gas(c):
-    k = F.col("p_size") % 4
-    d = c.part.select("p_partkey", F.when(k == 3, "Hard Coal").otherwise("Natural Gas").alias("Fueltype"), F.when(k == 0, "Steam Turbine").when(k == 1, "Combustion Engine").when(k == 3, "Steam Turbine").alias("Technology"))
-    return cleaning.repair_gas(d).select("p_partkey", F.col("Fueltype").alias("fuel"))
-
-
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_props(c):
     return c.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -439,31 +352,20 @@ def anti_semi_branches(c):
     return graph.prune_dangling(l, c.supplier.where("s_acctbal > 0"), ["l_suppkey"], "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT n_name, p_type FROM nation, (SELECT DISTINCT p_type FROM part)")
-def cross_everywhere(c):
-    return c.nation.select("n_name").crossJoin(c.part.select("p_type").distinct())
-
-
 @query("SELECT c_custkey, n_name AS bus FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON n_nationkey = c_nationkey")
 def lookup_map(c):
     return frames.lookup(c.customer.select("c_custkey", "c_nationkey"), c.nation.where("n_regionkey < 3"), "c_nationkey", "n_nationkey", "n_name", "bus").select("c_custkey", "bus")
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
-def key_difference(c):
-    keys = c.supplier.select("s_nationkey").distinct().exceptAll(c.customer.where("c_acctbal > 9500").select("c_nationkey").distinct())
-    return c.nation.join(keys, F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_name")
-
-
 # ----------------------------------------------------------------------- graph
 def branch_edges(c) -> DataFrame:
     """Suppliers of an order are joined in a chain; a sparse multigraph of plants."""
-    l = c.lineitem.where("l_orderkey % 97 = 0").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    nxt = F.lead("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    l = c.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    nxt = F.lead("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity"))
     return l.withColumn("b", nxt).where("b is not null and b <> l_suppkey").select(F.col("l_suppkey").alias("a"), "b", F.col("l_quantity").alias("weight"))
 
 
-_E = """e AS (SELECT a, b, weight FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b, l_quantity AS weight FROM lineitem WHERE l_orderkey % 97 = 0) WHERE b IS NOT NULL AND b <> a)"""
+_E = """e AS (SELECT a, b, weight FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity) AS b, l_quantity AS weight FROM lineitem) WHERE b IS NOT NULL AND b <> a)"""
 
 
 @query(f"WITH {_E} SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n, round(avg(weight), 6) AS weight FROM e GROUP BY 1, 2")
@@ -490,22 +392,9 @@ def trafo_closure(c):
     return graph.closure(c.part.where("p_partkey % 2 = 0 AND p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")))
 
 
-@query(f"""WITH RECURSIVE {_E}, u AS (SELECT a, b, min(weight) AS weight FROM (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e) GROUP BY ALL),
- t(id, source, dist) AS (SELECT s_suppkey, s_suppkey, 0.0::DOUBLE FROM supplier WHERE s_suppkey % 20 = 1 UNION SELECT u.b, t.source, t.dist + u.weight FROM t JOIN u ON u.a = t.id WHERE t.dist + u.weight <= 60)
- SELECT id, min(source) AS source, dist FROM t WHERE (id, dist) IN (SELECT (id, min(dist)) FROM t GROUP BY id) GROUP BY id, dist""")
-def shortest_path(c):
-    s = c.supplier.where("s_suppkey % 20 = 1").select(F.col("s_suppkey").alias("id"))
-    return graph.shortest_paths(branch_edges(c), s, limit=60.0)
-
-
-@query()
-def stub_removal(c):
-    return graph.prune_stubs(c.supplier.select(F.col("s_suppkey").alias("id")), branch_edges(c))
-
-
-@query(f"WITH {_E}, l AS (SELECT row_number() OVER (ORDER BY a, b, weight)::VARCHAR AS name, a, b, weight FROM (SELECT a, b, max(weight) AS weight FROM e GROUP BY ALL)) SELECT name, a AS bus0, b AS bus1, round(pow(0.97, weight / 1000), 8) AS efficiency, false AS reversed FROM l UNION ALL SELECT name || '-reversed', b, a, round(pow(0.97, weight / 1000), 8), true FROM l")
+@query(f"WITH {_E}, l AS (SELECT a || '-' || b AS name, a, b, max(weight) AS weight FROM e GROUP BY ALL) SELECT name, a AS bus0, b AS bus1, round(pow(0.97, weight / 1000), 8) AS efficiency, false AS reversed FROM l UNION ALL SELECT name || '-reversed', b, a, round(pow(0.97, weight / 1000), 8), true FROM l")
 def lossy_links(c):
-    l = branch_edges(c).groupBy("a", "b").agg(F.max("weight").alias("weight")).withColumn("name", F.row_number().over(W.orderBy("a", "b", "weight")).cast("string"))
+    l = branch_edges(c).groupBy("a", "b").agg(F.max("weight").alias("weight")).withColumn("name", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
     out = graph.lossy_split(l.select("name", F.col("a").alias("bus0"), F.col("b").alias("bus1"), F.col("weight").alias("length"), F.lit(1.0).alias("capital_cost")), 0.97)
     return out.select("name", "bus0", "bus1", r("efficiency", 8).alias("efficiency"), "reversed")
 
@@ -519,11 +408,6 @@ def features(c) -> DataFrame:
     return clustering.daily_features(c.events, "event_type", "ts", "value")
 
 
-@query("SELECT event_type, ts::DATE::VARCHAR AS day, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY ALL")
-def daily_features(c):
-    return features(c).select("event_type", F.col("day").cast("string").alias("day"), *[r(x, 6).alias(x) for x in ("mean", "std", "lo", "hi")])
-
-
 @query(f"WITH {_F} SELECT event_type, day::VARCHAR AS day, round((mean - avg(mean) OVER ()) / stddev_pop(mean) OVER (), 5) AS mean, round((hi - avg(hi) OVER ()) / stddev_pop(hi) OVER (), 5) AS hi FROM f")
 def zscore(c):
     return clustering.scale(features(c), ["mean", "hi"]).select("event_type", F.col("day").cast("string").alias("day"), r("mean", 5).alias("mean"), r("hi", 5).alias("hi"))
@@ -532,11 +416,6 @@ def zscore(c):
 _P = "f AS (SELECT event_type, ts::DATE AS day, avg(value) AS mean FROM events GROUP BY ALL), p AS (SELECT x.event_type AS a, y.event_type AS b, sqrt(sum((x.mean - y.mean) * (x.mean - y.mean))) AS dist FROM f x JOIN f y ON x.day = y.day AND x.event_type < y.event_type GROUP BY ALL)"
 
 
-@query(f"WITH {_P} SELECT a, b, round(dist / (SELECT quantile_cont(dist, 0.95) FROM p), 6) AS dist FROM p")
-def pairwise_dist_norm(c):
-    return clustering.scale_distances(clustering.distances(features(c), "event_type", ["day"], "mean")).withColumn("dist", r("dist", 6))
-
-
 @query(f"WITH {_P}, s AS (SELECT id, sum(dist) AS total FROM (SELECT a AS id, dist FROM p UNION ALL SELECT b, dist FROM p) GROUP BY 1) SELECT 'all' AS cluster, arg_min(id, total) AS medoid, count(*) AS size FROM s")
 def medoids(c):
     p = clustering.distances(features(c), "event_type", ["day"], "mean")
@@ -548,12 +427,6 @@ def hac_threshold(c):
     return clustering.hac_points(c.embeddings, "label", "vec_id", "embedding", 1.35)
 
 
-@query()
-def alternating_reducer(c):
-    nodes, days = clustering.alternate(features(c), "event_type", "day", "mean", 60.0, 8.0)
-    return nodes.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("id"), F.col("cluster").cast("string").alias("cluster")).unionByName(days.select(F.lit("day").alias("kind"), F.col("id").cast("string").alias("id"), F.col("cluster").cast("string").alias("cluster")))
-
-
 # --------------------------------------------------------------------- spatial
 _XY = "(c_custkey % 360 - 180)::DOUBLE AS x, (c_custkey % 140 - 70)::DOUBLE AS y"
 _HAV = "2 * 6371.0 * asin(sqrt(pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2)))"
@@ -606,31 +479,11 @@ def cop_lorenz(c):
     return c.events.select("event_id", r(scalars.cop_lorenz(F.lit(313.15), F.lit(343.15), x, x - 3.0)).alias("cop"))
 
 
-@query("SELECT l_shipmode_ AS tech, count(*) AS n FROM (SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'metal' WHEN p_type LIKE '%BRASS%' THEN 'alloy' WHEN p_type LIKE '%COPPER%' THEN 'alloy' ELSE p_type END AS l_shipmode_ FROM part) GROUP BY 1")
-def rename_techs(c):
-    t = scalars.rename_tech(F.col("p_type"), ["residential "], {"STEEL": "metal", "BRASS": "alloy", "COPPER": "alloy"}, {})
-    return c.part.groupBy(t.alias("tech")).agg(F.count("*").alias("n"))
-
-
 # -------------------------------------------------------- network construction
 def lines(c) -> DataFrame:
     return c.lineitem.select(F.col("l_orderkey").cast("string").alias("line_id"), (F.col("l_partkey") % 50).alias("geometry"), (F.col("l_linenumber") * 110000).alias("voltage"), F.col("l_quantity").alias("circuits"))
 
 
-@query("""WITH l AS (SELECT l_orderkey::VARCHAR AS line_id, l_partkey % 50 AS geometry, l_linenumber * 110000 AS voltage, l_quantity AS circuits FROM lineitem)
- SELECT CASE WHEN count(*) > 1 THEN min(line_id) || '-' || (voltage // 1000)::VARCHAR ELSE min(line_id) END AS line_id, geometry, voltage, round(sum(circuits), 4) AS circuits FROM l GROUP BY geometry, voltage""")
-def merge_parallel_lines(c):
-    return network.merge_parallel(lines(c)).select("line_id", "geometry", "voltage", r("circuits").alias("circuits"))
-
-
-@query("""WITH b AS (SELECT s_nationkey AS station_id, s_suppkey AS bus_id, (s_suppkey % 3 + 1) * 110 AS voltage, abs(s_acctbal) AS s_nom FROM supplier),
- p AS (SELECT station_id, bus_id AS bus0, voltage AS v0, s_nom AS s0, lead(bus_id) OVER w AS bus1, lead(voltage) OVER w AS v1, lead(s_nom) OVER w AS s1 FROM b WINDOW w AS (PARTITION BY station_id ORDER BY voltage, bus_id))
- SELECT station_id, bus0, bus1, round(greatest(s0, s1), 4) AS s_nom FROM p WHERE bus1 IS NOT NULL AND v0 <> v1""")
-def station_transformers(c):
-    b = c.supplier.select(F.col("s_nationkey").alias("station_id"), F.col("s_suppkey").alias("bus_id"), ((F.col("s_suppkey") % 3 + 1) * 110).alias("voltage"), F.abs("s_acctbal").alias("s_nom"))
-    return network.station_transformers(b).select("station_id", "bus0", "bus1", r("s_nom").alias("s_nom"))
-
-
 @query("SELECT bus, ceil(sum(s))::BIGINT AS s_nom FROM (SELECT l_suppkey AS bus, round(l_quantity * 1.7, 1) AS s FROM lineitem UNION ALL SELECT l_partkey, round(l_quantity * 1.7, 1) FROM lineitem) GROUP BY 1")
 def bus_capacity(c):
     return network.bus_capacity(c.lineitem.select(F.col("l_suppkey").alias("bus0"), F.col("l_partkey").alias("bus1"), F.round(F.col("l_quantity") * 1.7, 1).alias("s_nom")))
@@ -641,12 +494,6 @@ def integer_weights(c):
     return network.integer_weights(c.customer.withColumn("x", F.abs("c_acctbal")), "c_nationkey", "x").select("c_custkey", "w")
 
 
-@query("WITH b AS (SELECT n_regionkey::VARCHAR AS country, min(n_name) AS bus FROM nation GROUP BY 1) SELECT h.bus AS bus0, b.bus AS bus1, 999.0 AS p_nom FROM b JOIN b h ON h.country = '0' WHERE b.country IN ('1', '3')")
-def copperplate(c):
-    b = c.nation.select(F.col("n_regionkey").cast("string").alias("country"), F.col("n_name").alias("name"))
-    return network.copperplate(b, [["0", "1", "3"]], 999.0).select("bus0", "bus1", "p_nom")
-
-
 @query("WITH s AS (SELECT s_suppkey, s_suppkey // 10 AS c, (s_suppkey % 7 + 1)::DOUBLE AS l FROM supplier WHERE s_suppkey % 10 <> 9) SELECT min(s_suppkey::VARCHAR) AS chain, round(sum(l), 4) AS length, round(min(l), 4) AS p_nom, count(*) AS n FROM s GROUP BY c")
 def fold_chains(c):
     """Links i to i + 1 within decades: nine links of a decade make one chain."""
@@ -677,12 +524,6 @@ def prepare_costs(c):
     return out.select("technology", r("capital_cost").alias("capital_cost"), r("marginal_cost").alias("marginal_cost"))
 
 
-@query("SELECT 'battery' AS technology, round(a.p_retailprice + 6 * b.p_retailprice, 4) AS capital_cost FROM part a, part b WHERE a.p_partkey = 1 AND b.p_partkey = 2")
-def storage_costs(c):
-    k = c.part.select(F.col("p_partkey").cast("string").alias("technology"), F.col("p_retailprice").alias("capital_cost"))
-    return sectors.storage_costs(k, {"battery": ("1", "2", 6.0)}).withColumn("capital_cost", r("capital_cost"))
-
-
 @query("""WITH a AS (SELECT s_nationkey AS k, sum(s_acctbal) AS a FROM supplier WHERE s_nationkey < 18 GROUP BY 1), b AS (SELECT c_nationkey AS k, sum(c_acctbal) AS b FROM customer WHERE c_nationkey > 5 GROUP BY 1)
  SELECT coalesce(a.k, b.k) AS k, round(coalesce(a * 0.7 + b * 0.3, b, a), 4) AS value FROM a FULL JOIN b ON a.k = b.k""")
 def blend_ratios(c):
@@ -706,12 +547,6 @@ def split_dissolved(c):
     return sectors.split_dissolved(d, s, "k", "v").withColumn("v", r("v"))
 
 
-@query("SELECT o_orderstatus AS k, round(sum(o_totalprice * 0.36 + o_custkey * 0.2), 2) AS co2 FROM orders GROUP BY 1")
-def emissions_from_fuel(c):
-    d = c.orders.select(F.col("o_orderstatus").alias("k"), F.col("o_totalprice").alias("coal"), F.col("o_custkey").cast("double").alias("gas"))
-    return sectors.emissions_from_fuel(d, ["k"], {"coal": 0.36, "gas": 0.2}).withColumn("co2", r("co2", 2))
-
-
 @query("SELECT p_partkey, coalesce(nullif((p_size % 2)::DOUBLE, 0), nullif((p_size % 3)::DOUBLE, 0), p_retailprice) AS v FROM part")
 def estimate_fallback(c):
     d = c.part.select("p_partkey", (F.col("p_size") % 2).cast("double").alias("a"), (F.col("p_size") % 3).cast("double").alias("b"), F.col("p_retailprice").alias("z"))
@@ -726,16 +561,10 @@ def heating_distribution(c):
     return sectors.heating_distribution(t, n, "ct").withColumn("value", r("value", 6))
 
 
-@query("SELECT c_custkey, round(s + 0.5 * greatest(least(0.6, u) - s, 0), 8) AS district_fraction FROM (SELECT c_custkey, (c_custkey % 5) / 10.0 AS s, (c_custkey % 4) / 4.0 AS u FROM customer)")
-def district_heat_share(c):
-    d = c.customer.select("c_custkey", ((F.col("c_custkey") % 5) / 10.0).alias("share"), ((F.col("c_custkey") % 4) / 4.0).alias("urban_fraction"))
-    return sectors.district_heat_share(d, 0.5, 0.6).select("c_custkey", r("district_fraction", 8).alias("district_fraction"))
-
-
 @query("""WITH m AS (SELECT p_type AS k, p_name AS measure, p_retailprice AS cost, p_size / 50.0 AS saving FROM part WHERE p_size >= 20) SELECT DISTINCT k, first_value(measure) OVER w AS measure, first_value(cost) OVER w AS cost FROM m WINDOW w AS (PARTITION BY k ORDER BY cost, measure)""")
 def retrofit_measure(c):
     d = c.part.select(F.col("p_type").alias("k"), F.col("p_name").alias("measure"), F.col("p_retailprice").alias("cost"), (F.col("p_size") / 50.0).alias("saving"))
     return sectors.cheapest_measure(d, ["k"], 0.4)
 
 
-from . import queries_constraints, queries_statistics  # noqa: E402, F401  more queries register themselves
+from . import queries_constraints, queries_rules, queries_statistics  # noqa: E402, F401  more queries register themselves

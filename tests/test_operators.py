@@ -4,10 +4,11 @@ import datetime as dt
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import allocation, cleaning, clustering, constraints, frames, graph, spatial, temporal
+from gridloom.operators import allocation, cleaning, clustering, constraints, frames, graph, network, spatial, temporal
 from gridloom.plans import summary
 from gridloom.session import nan_to_null
 from gridloom.sources import readers
@@ -102,8 +103,11 @@ def test_distribution_key_uniform_group(spark):
 
 
 def test_brownfield_infinite_lifetime(spark):
-    df = spark.createDataFrame([("a", 2000, float("inf"), 50.0), ("b", 2010, 30.0, 50.0), ("c", 1990, 30.0, 50.0), ("d", 2015, 30.0, 5.0)], "name string, build_year int, lifetime double, p_nom_opt double")
-    assert rows(allocation.brownfield(df, 2030), "name") == [("b",)]
+    df = spark.createDataFrame(
+        [("a", 2000, float("inf"), 50.0, True), ("b", 2010, 30.0, 50.0, True), ("c", 1990, 30.0, 50.0, True), ("d", 2015, 30.0, 5.0, True), ("e", 2015, 30.0, 10.0, True), ("f", 2015, 30.0, 5.0, False)],
+        "name string, build_year int, lifetime double, p_nom_opt double, p_nom_extendable boolean",
+    ).withColumns({"efficiency": F.lit(1.0), "p_nom_ratio": F.lit(1.0)})
+    assert rows(allocation.brownfield(df, 2030), "name") == [("b",), ("e",), ("f",)]
 
 
 def test_split_cells_and_voltage(spark):
@@ -114,7 +118,35 @@ def test_split_cells_and_voltage(spark):
 
 def test_gas_repair(spark):
     df = spark.createDataFrame([("Natural Gas", "Steam Turbine"), ("Natural Gas", "Combustion Engine"), ("Natural Gas", None), ("Hydro", "Not Found")], "Fueltype string, Technology string")
-    assert rows(cleaning.repair_gas(df)) == [("CCGT", "CCGT"), ("CCGT", "CCGT"), ("Hydro", "Not Found"), ("OCGT", "OCGT")]
+    assert rows(cleaning.repair_gas(df)) == [("Hydro", "Not Found"), ("Natural Gas", "CCGT"), ("Natural Gas", "CCGT"), ("Natural Gas", "OCGT")]
+    fuels = spark.createDataFrame([("Oil", "OCGT"), ("x", "CCGT"), ("Hydro", None)], "Fueltype string, Technology string")
+    assert rows(cleaning.gas_fuel(fuels), "Fueltype") == [("Hydro",), ("Natural Gas",), ("Natural Gas",)]
+
+
+def test_three_voltages_make_three_transformers(spark):
+    b = spark.createDataFrame([("s", i, v, float(i)) for i, v in enumerate((110000, 220000, 380000))] + [("t", 9, 110000, 1.0), ("t", 10, 110000, 1.0)], "station_id string, bus_id int, voltage int, s_nom double")
+    assert rows(network.station_transformers(b), "transformer_id", "s_nom") == [("s-110-220", 1.0), ("s-110-380", 2.0), ("s-220-380", 2.0)]
+
+
+def test_gather_misses_are_errors(spark):
+    df, keys = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1,), (1,)], "k int")
+    assert rows(frames.gather(df, keys, "k")) == [(1, "a"), (1, "a")]
+    with pytest.raises(Exception, match="no k 2"):
+        frames.gather(df, spark.createDataFrame([(2,)], "k int"), "k").collect()
+
+
+def test_versions_need_one_supported_row(spark):
+    df = spark.createDataFrame([("a", "1", "primary", "latest"), ("b", "1", "primary", "latest supported"), ("b", "2", "primary", "latest supported")], "dataset string, version string, source string, tags string")
+    with pytest.raises(ValueError):
+        cleaning.resolve_version(df, "a", "primary")
+    with pytest.raises(Exception, match="several rows"):
+        cleaning.resolve_version(df, "b", "primary").collect()
+
+
+def test_charger_without_partner(spark):
+    l = spark.createDataFrame([("A battery charger", True, 0.9)], "name string, p_nom_extendable boolean, efficiency double")
+    with pytest.raises(Exception, match="no partner"):
+        constraints.battery_balance(l).collect()
 
 
 def _edges(spark, pairs):
@@ -159,9 +191,25 @@ def test_ports_skip_empty_third_port(spark):
     assert rows(summary.ports_long(l, 3), "bus", "p") == [("a", -5.0), ("b", 4.0)]
 
 
-def test_land_use_not_negative(spark):
-    g = spark.createDataFrame([("e", "b", "wind", True, 0.0, 10.0), ("o", "b", "wind", False, 25.0, 0.0)], "name string, bus string, carrier string, p_nom_extendable boolean, p_nom double, p_nom_max double")
-    assert rows(constraints.land_use(g), "var", "rhs") == [("e", 0.0)]
+def test_land_use(spark):
+    """What exists is taken off; a minimum above the rest raises it; never under 0."""
+    rows_ = [("A wind-2030", "wind", True, 0.0, 0.0, 10.0), ("A wind-2000", "wind", False, 25.0, 0.0, 0.0), ("B wind-2030", "wind", True, 0.0, 7.0, 10.0), ("B wind-2010", "wind", False, 4.0, 0.0, 0.0)]
+    g = spark.createDataFrame(rows_, "name string, carrier string, p_nom_extendable boolean, p_nom double, p_nom_min double, p_nom_max double")
+    got = dict(rows(constraints.land_use(g, "2030", ("wind",)), "name", "p_nom_max"))
+    assert got["A wind-2030"] == 0.0 and got["B wind-2030"] == 7.0
+
+
+def test_reducer_settles(spark):
+    """Two groups of nodes and two kinds of days are found; one node alone is kept."""
+    day0 = dt.date(2024, 1, 1)
+    data = [(n, day0 + dt.timedelta(days=d), "f", 10.0 * (n >= "c") + 5.0 * (d % 2) + 0.01 * d) for n in "abcd" for d in range(6)]
+    x = spark.createDataFrame(data, "node string, day date, feature string, value double")
+    geo = spark.createDataFrame([(a, b, 1.0 if (a >= "c") == (b >= "c") else 9.0) for a in "abcd" for b in "abcd" if a < b], "a string, b string, dist double")
+    nodes, days, reps = clustering.alternate(x, geo, 0.5, 0.5)
+    assert rows(nodes) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+    assert {r["id"].day % 2: r["cluster"] for r in days.collect()} == {1: day0, 0: day0 + dt.timedelta(days=1)} and sorted(r["weight"] for r in reps.collect()) == [3.0, 3.0]
+    one = clustering.alternate(x.where("node = 'a'"), geo.where("false"), 0.5, 0.5)
+    assert rows(one[0]) == [("a", "a")]
 
 
 def test_deadband_bound_keeps_raw(spark):
