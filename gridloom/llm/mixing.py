@@ -107,7 +107,7 @@ def repetitions(mixed: DataFrame, columns: list[str]) -> DataFrame:
     per whole or partial repetition; the text of a partial one ends with its last word taken.
     Documents that the mix does not take have no row."""
     n = F.col("repeats") + (F.col("part_words") > 0).cast("long")
-    d = mixed.where(n > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    d = mixed.where(F.col("taken") > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), n)))
     partial = F.col("repetition") > F.col("repeats")
     own = F.when(partial, F.col("part_words")).otherwise(F.col("size"))
     text = F.when(partial & (F.col("part_words") < F.col("size")), first_words(F.col("text"), F.col("part_words"))).otherwise(F.col("text"))

@@ -14,7 +14,7 @@ expected labelled rows, drawn by a seeded hash of doc_id, so that a rerun takes
 Edge cases: null or empty text has no terms and scores the model's bias; rows with a
 null label are not learned from; several labels of one doc_id: toxic if any is; without
 any training label or without both classes every score is the smoothed share of toxic
-rows; repeated documents score alike; only doc_id, text and toxic are read.
+rows (0.05 where there are none); repeated documents score alike; only doc_id, text and toxic are read.
 """
 
 from __future__ import annotations
@@ -137,32 +137,18 @@ class Machine:
             z += 0.5 * np.einsum("ij,ij->i", s, s)
         return z, s
 
-    def fit(self, at: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
-        """Logistic loss, AdaGrad over minibatches (drawn once, their order anew in each epoch) that
-        touch only the weights of their own terms."""
-        rng, n = np.random.default_rng(seed), len(y)
-        share = (y.sum() + 1) / (n + 2)
+    def fit(self, steps: list[tuple], share: float, epochs: int = 10, rate: float = 0.1, l2: float = 1e-4, seed: int = 1) -> None:
+        """Logistic loss, AdaGrad over minibatches in a new order each epoch; a step touches only the
+        weights of its own terms.  ``share``: of toxic rows, which sets the first bias."""
+        rng = np.random.default_rng(seed)
         self.w0 = float(np.log(share / (1 - share)))
-        if y.min(initial=1) == y.max(initial=0):
-            return
-        steps = []
-        order = rng.permutation(n)
-        for lo in range(0, n, batch):
-            rows = order[lo : lo + batch]
-            size = at[rows + 1] - at[rows]
-            ends = np.r_[0, np.cumsum(size)]
-            t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(at[rows], size)]
-            use, ix = np.unique(t, return_inverse=True)
-            by = np.argsort(ix, kind="stable")
-            # Terms as places in ``use``, and the documents of each term, one after another.
-            steps.append((rows, ends, use, ix.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), size)[by], np.searchsorted(ix[by], np.arange(len(use)))))
         gw, gv, g0 = np.full(len(self.w), 1e-8, np.float32), np.full(self.v.shape, 1e-8, np.float32), 1e-8
         for _ in range(epochs):
             for k in rng.permutation(len(steps)):
-                rows, ends, use, ix, docs, cut = steps[k]
+                y, ends, use, ix, docs, cut = steps[k]
                 x, w, v = self.x[use], self.w[use], self.v[use]
                 z, s = self.raw(ends, ix, (x, w, v))
-                err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)).astype(np.float32)
+                err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
                 if len(use):
                     # The derivative by v_t is x_t (the document's factor sum less x_t v_t).
                     total = np.add.reduceat(err[docs], cut) * x
@@ -176,27 +162,57 @@ class Machine:
                 self.w0 -= rate * float(err.sum()) / np.sqrt(g0)
 
 
+def minibatches(start: np.ndarray, size: np.ndarray, term: np.ndarray, y: np.ndarray, batch: int = 512, seed: int = 1) -> list[tuple]:
+    """(labels, ends of the documents, distinct terms, terms as places in them, the documents of each
+    term one after another, where each term's begin) of batches drawn once; the i-th document's
+    terms are term[start[i]:][:size[i]]."""
+    out = []
+    order = np.random.default_rng(seed).permutation(len(y))
+    for lo in range(0, len(y), batch):
+        rows = order[lo : lo + batch]
+        n = size[rows]
+        ends = np.r_[0, np.cumsum(n)]
+        t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(start[rows], n)]
+        use, ix = np.unique(t, return_inverse=True)
+        by = np.argsort(ix, kind="stable")
+        out.append((y[rows], ends, use, ix.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int16), n)[by], np.searchsorted(ix[by], np.arange(len(use)))))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
     """A machine fitted on rows outside the fold ``crc32(doc_id) mod mod = keep``.
 
-    To the driver come at most 2^BITS counts and the terms of max_rows expected rows, some
-    300 of 4 bytes a row.
+    To the driver come at most 2^BITS counts and the terms of max_rows expected rows: some
+    600 of 4 bytes a row, 100 MB at the default, whatever the size of the input.
     """
     rows = materialise(training_rows(docs, labels, mod, keep), "tox")
     x, total = relevance(term_counts(rows).toArrow())
     # A seeded share of the rows, so that max_rows are expected at most and no sort is needed.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fm")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))
     sample = rows.where(drawn).select("terms", "toxic", F.xxhash64("doc_id", "terms").alias("k"))
-    got = sample.toArrow()
-    got = got.take(pa.array(np.lexsort((got.column("toxic").to_numpy(), got.column("k").to_numpy()))))  # in one order, however it came
-    y = got.column("toxic").to_numpy().astype(np.float64)
-    lists = got.column("terms").combine_chunks()
     m = Machine(x, factors)
-    if len(y):
-        m.fit(np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), lists.flatten().to_numpy(), y)
+    share, steps = _sample_steps(sample)
+    m.w0 = float(np.log(share / (1 - share)))
+    if steps:
+        m.fit(steps, share)
     return m
 
 
+def _sample_steps(sample: DataFrame) -> tuple[float, list[tuple]]:
+    """(smoothed share of toxic rows, the sample's minibatches; none without both classes).  The rows
+    are put in one order, however they came; only the batches outlive this call."""
+    got = sample.toArrow()
+    y = got.column("toxic").to_numpy()
+    order = np.lexsort((y, got.column("k").to_numpy()))
+    lists = got.column("terms").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    share = (y.sum() + 0.1) / (len(y) + 2)  # 0.05 without any row
+    if y.min(initial=1) == y.max(initial=0):
+        return share, []
+    return share, minibatches(start[order], size[order], lists.flatten().to_numpy(), y[order].astype(np.float64))
+
+
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """``keep`` columns and score of every document; one pass over whole texts."""
     bc = docs.sparkSession.sparkContext.broadcast(machine)  # of a fixed size: 2^BITS x (factors + 2) numbers
