@@ -103,6 +103,8 @@ def country(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.upper(F.trim(name)))
 
 
-def storage_soc(inflow: Column, factor: float) -> Column:
-    """The level after a horizon of (array) inflows with a standing loss factor per step."""
-    return F.aggregate(inflow, F.lit(0.0), lambda s, x: s * factor + x)
+def storage_levels(inflow: Column, first: Column, factor: float) -> Column:
+    """Levels before each step of an array of net inflows, and after the last: the level keeps
+    ``factor`` of itself over a step and gains the inflow."""
+    start = F.array(first.cast("double"))
+    return F.aggregate(inflow, start, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) * factor + x)))

@@ -93,3 +93,11 @@ def port_shares(ports: DataFrame, nodes: DataFrame, country: str) -> DataFrame:
     near = nearest(ports, nodes, country, "port", "node")
     s = ports.join(near, "port").groupBy(country, "node").agg(F.sum("outflow").alias("outflow"))
     return s.select(country, "node", normed(F.col("outflow"), country).alias("share"))
+
+
+def emission_prices(gens: DataFrame, carriers: DataFrame, prices: DataFrame) -> DataFrame:
+    """``gens`` at every snapshot with marginal_cost raised by the emission price times the carrier's
+    intensity over the efficiency; carriers without an intensity keep theirs."""
+    g = gens.join(carriers.select("carrier", "co2_emissions"), "carrier", "left").crossJoin(prices.select("snapshot", "price"))  # every asset has every snapshot
+    extra = F.coalesce(F.col("price") * F.col("co2_emissions") / F.col("efficiency"), F.lit(0.0))
+    return g.withColumn("marginal_cost", F.col("marginal_cost") + extra)

@@ -79,14 +79,22 @@ def contained(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> Data
     return hit.groupBy("id").agg(F.min("region").alias("region"))
 
 
-def box_shares(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Area-weighted overlay of boxes (id, x0, y0, x1, y1): source, target, share of the
-    source's area."""
-    s = source.select(F.col("id").alias("source"), *[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")])
-    t = target.select(F.col("id").alias("target"), *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+def box_shares(source: DataFrame, target: DataFrame, size: float = 1.0) -> DataFrame:
+    """Area-weighted overlay of boxes (id, x0, y0, x1, y1): source, target, share of the source's
+    area.  Boxes meet by equal grid cells of ``size``; a pair is counted in the cell that holds the
+    lower left corner of their overlap."""
+
+    def spread(d: DataFrame, p: str) -> DataFrame:
+        d = d.select(F.col("id").alias({"s": "source", "t": "target"}[p]), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
+        for axis in ("x", "y"):
+            d = d.withColumn(f"c{axis}", F.explode(F.expr(f"sequence(cast(floor({p}{axis}0 / {size}) as bigint), cast(floor({p}{axis}1 / {size}) as bigint))")))
+        return d
+
     w = F.least("sx1", "tx1") - F.greatest("sx0", "tx0")
     h = F.least("sy1", "ty1") - F.greatest("sy0", "ty0")
-    j = s.join(t, (F.col("sx0") < F.col("tx1")) & (F.col("tx0") < F.col("sx1")) & (F.col("sy0") < F.col("ty1")) & (F.col("ty0") < F.col("sy1")))
+    j = spread(source, "s").join(spread(target, "t"), ["cx", "cy"]).where((w > 0) & (h > 0))
+    ox, oy = cells(F.greatest("sx0", "tx0"), F.greatest("sy0", "ty0"), size)
+    j = j.where((ox == F.col("cx")) & (oy == F.col("cy")))
     return j.select("source", "target", (w * h / ((F.col("sx1") - F.col("sx0")) * (F.col("sy1") - F.col("sy0")))).alias("share"))
 
 
@@ -94,3 +102,93 @@ def assign_by_overlap(shares: DataFrame) -> DataFrame:
     """The target with the greatest share, the least one on a tie."""
     best = W.partitionBy("source").orderBy(F.desc("share"), "target")
     return shares.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("source", "target")
+
+
+def on_ring(px: np.ndarray, py: np.ndarray, ring: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """Whether points are on the border of a ring."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    hit = np.zeros(len(px), bool)
+    for (x0, y0), (x1, y1) in zip(a, b):
+        cross = (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0)
+        scale = max(abs(x1 - x0), abs(y1 - y0), 1.0)
+        hit |= (np.abs(cross) <= eps * scale) & (px >= min(x0, x1)) & (px <= max(x0, x1)) & (py >= min(y0, y1)) & (py <= max(y0, y1))
+    return hit
+
+
+def assign_regions(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
+    """id, region of every point: strictly inside, else on a border (the least region of several), else
+    the region with the nearest centroid (mean of the ring by area).
+
+    Candidates for the first two come by grid cells; the last joins the points left with all
+    regions, which are the regions of a map."""
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    box = polygons.select("region", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    spread = lambda lo, hi: F.explode(F.expr(f"sequence(cast(floor({lo} / {size}) as bigint), cast(floor({hi} / {size}) as bigint))"))
+    box = box.withColumn("cx", spread("x0", "x1")).withColumn("cy", spread("y0", "y1"))
+    cx, cy = cells(F.col("x"), F.col("y"), size)
+    pairs = points.select("id", "x", "y", cx.alias("cx"), cy.alias("cy")).join(box, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1")
+    kind = points.schema["id"].dataType.simpleString(), polygons.schema["region"].dataType.simpleString()
+
+    def test(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b]).to_pandas()
+            rank = np.full(len(t), 2)
+            for _, g in t.groupby("region"):
+                ring = np.array([list(p) for p in g["ring"].iloc[0]], float)
+                x, y = g["x"].to_numpy(), g["y"].to_numpy()
+                edge = on_ring(x, y, ring)
+                rank[g.index] = np.where(edge, 1, np.where(in_polygon(x, y, ring), 0, 2))
+            t["rank"] = rank
+            yield pa.RecordBatch.from_pandas(t.loc[rank < 2, ["id", "region", "rank"]], preserve_index=False)
+
+    hit = pairs.select("id", "region", "x", "y", "ring").mapInArrow(test, f"id {kind[0]}, region {kind[1]}, rank long")
+    got = hit.groupBy("id").agg(F.min(F.struct("rank", "region")).alias("m")).select("id", "m.region")
+    mids = polygons.select("region", *[c.alias(n) for c, n in zip(_centroid(), ("_cx", "_cy"))])
+    left = points.select("id", "x", "y").join(got, "id", "left_anti").crossJoin(F.broadcast(mids))  # points outside, and the regions of a map
+    near = left.groupBy("id").agg(F.min(F.struct(haversine(F.col("x"), F.col("y"), F.col("_cx"), F.col("_cy")).alias("d"), "region")).alias("m")).select("id", "m.region")
+    return got.unionByName(near)
+
+
+def _centroid():
+    """x and y of the centroid of ``ring``, by area."""
+    nxt = F.expr("concat(slice(ring, 2, size(ring) - 1), slice(ring, 1, 1))")
+    edges = F.arrays_zip(F.col("ring").alias("a"), nxt.alias("b"))
+    cross = lambda e: e["a"][0] * e["b"][1] - e["b"][0] * e["a"][1]
+    total = lambda f: F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e))
+    area = total(cross) * 3
+    return [total(lambda e, i=i: (e["a"][i] + e["b"][i]) * cross(e)) / area for i in (0, 1)]
+
+
+def adjacency(polygons: DataFrame, size: float = 1.0) -> DataFrame:
+    """Pairs a < b of regions that touch or overlap: boxes meet by grid cells; then a vertex of one is in
+    or on the other, or two edges cross."""
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    box = polygons.select("region", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    spread = lambda lo, hi: F.explode(F.expr(f"sequence(cast(floor({lo} / {size}) as bigint), cast(floor({hi} / {size}) as bigint))"))
+    at = box.select("region", "x0", "x1", "y0", "y1", spread("x0", "x1").alias("cx")).withColumn("cy", spread("y0", "y1"))
+    o = at.select(*[F.col(c).alias(f"o{c}") for c in ("region", "x0", "x1", "y0", "y1")], "cx", "cy")
+    meet = at.join(o, ["cx", "cy"]).where("region < oregion AND x0 <= ox1 AND ox0 <= x1 AND y0 <= oy1 AND oy0 <= y1").select(F.col("region").alias("a"), F.col("oregion").alias("b")).distinct()
+    j = meet.join(polygons.select(F.col("region").alias("a"), F.col("ring").alias("ra")), "a").join(polygons.select(F.col("region").alias("b"), F.col("ring").alias("rb")), "b")
+    kind = polygons.schema["region"].dataType.simpleString()
+
+    def touch(p: np.ndarray, q: np.ndarray) -> bool:
+        for u, v in ((p, q), (q, p)):
+            if (in_polygon(u[:, 0], u[:, 1], v) | on_ring(u[:, 0], u[:, 1], v)).any():
+                return True
+        side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+        a, b = p[:, None], np.roll(p, -1, axis=0)[:, None]
+        c, d = q[None], np.roll(q, -1, axis=0)[None]
+        return bool(((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)).any())
+
+    def test(batches):
+        for x in batches:
+            keep = [touch(np.array(p, float), np.array(q, float)) for p, q in zip(x.column("ra").to_pylist(), x.column("rb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return j.select("a", "b", "ra", "rb").mapInArrow(test, f"a {kind}, b {kind}")
+
+
+def overlap_or_nearest(shares: DataFrame, nearest_target: DataFrame) -> DataFrame:
+    """The target of the greatest share; a source without any overlap takes its nearest one."""
+    best = assign_by_overlap(shares).select("source", F.col("target").alias("_t"))
+    return nearest_target.join(best, "source", "left").select("source", F.coalesce("_t", "target").alias("target"))

@@ -174,6 +174,24 @@ def heatmap(df: DataFrame, spine: DataFrame, time: str, value: str, days: list)
     return filled.select(F.hour("snapshot").alias("hour"), F.date_format("snapshot", "MM-dd").alias("_day"), "v").groupBy("hour").pivot("_day", days).agg(F.first("v"))
 
 
+def profile_times_total(df: DataFrame, totals: DataFrame, key: str, value: str, total: str) -> DataFrame:
+    """A profile normalised to its key's sum, times the key's total; NULL where the profile sums to 0."""
+    share = F.try_divide(F.col(value), F.sum(value).over(W.partitionBy(key)))
+    return df.withColumn(value, share).join(totals.select(key, F.col(total).alias("_t")), key).withColumn(value, F.col(value) * F.col("_t")).drop("_t")
+
+
+def scale_to_year(df: DataFrame, time: str, value: str, year: int, level: float) -> DataFrame:
+    """Values relative to the mean of a year, times a level."""
+    mean = df.where(F.year(time) == year).agg(F.avg(value).alias("_m"))
+    return df.crossJoin(F.broadcast(mean)).withColumn(value, F.try_divide(value, "_m") * level).drop("_m")  # a single row
+
+
+def degree_days(df: DataFrame, key: list[str], time: str, temp: str, threshold: float) -> DataFrame:
+    """key, year, hdd: degrees of the daily mean under a threshold, summed over the year."""
+    d = df.groupBy(*key, F.to_date(time).alias("_d")).agg(F.avg(temp).alias("_t"))
+    return d.groupBy(*key, F.year("_d").alias("year")).agg(F.sum(F.greatest(threshold - F.col("_t"), F.lit(0.0))).alias("hdd"))
+
+
 def segments(df: DataFrame, key: list[str], time: str, features: list[str], k: int) -> DataFrame:
     """Contiguous segments per key (one series per group, such as a year): neighbours with
     the least increase of Ward's criterion merge until k are left.

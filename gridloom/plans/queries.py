@@ -567,4 +567,4 @@ def retrofit_measure(c):
     return sectors.cheapest_measure(d, ["k"], 0.4)
 
 
-from . import queries_constraints, queries_rules, queries_statistics  # noqa: E402, F401  more queries register themselves
+from . import queries_constraints, queries_more, queries_rules, queries_statistics  # noqa: E402, F401  more queries register themselves
