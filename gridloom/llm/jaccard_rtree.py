@@ -9,8 +9,9 @@ an R-tree over the points (bulk-loaded; a node keeps the coordinate maxima and t
 range below it) discards what cannot reach the overlap that theta asks for, and the
 pairs that survive are verified on the sets.
 
-Scale.  Count vectors alone cannot tell far from near among a corpus, so trees are built
-per family, and families are found exactly: linked sets of sizes a <= b differ in at
+Scale.  A tree over a whole corpus discards nearly all pairs, but a search visits nodes in
+proportion to the corpus (figures in README), so trees are built per family, and families
+are found exactly: linked sets of sizes a <= b differ in at
 most t(a) = a (1 - theta) / theta shingles.  Sets of one size band are cut, by another
 hash, into more than t(band) parts, so linked sets agree wholly in at least one part.
 Equal parts join documents into families (connected components); a lone document has no

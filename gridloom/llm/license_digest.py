@@ -17,7 +17,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +76,8 @@ def _spaced(words: str) -> str:
 
 def canonical_py(text: str | None) -> str:
     """The same for one text, by the re module; the tests' second opinion."""
+    import regex
+
     t = (text or "").translate(str.maketrans(UPPER, LOWER))
 
     for pattern in (COPYRIGHT, RESERVED, OTHER):
