@@ -162,20 +162,22 @@ class Machine:
                 self.w0 -= rate * float(err.sum()) / np.sqrt(g0)
 
 
-def minibatches(start: np.ndarray, size: np.ndarray, term: np.ndarray, y: np.ndarray, batch: int = 512, seed: int = 1) -> list[tuple]:
+def minibatches(rows: list, y: np.ndarray, batch: int = 512, seed: int = 1) -> list[tuple]:
     """(labels, ends of the documents, distinct terms, terms as places in them, the documents of each
-    term one after another, where each term's begin) of batches drawn once; the i-th document's
-    terms are term[start[i]:][:size[i]]."""
+    term one after another, where each term's begin) of batches drawn once.  ``rows``: each
+    document's terms; they are let go as they are used."""
     out = []
     order = np.random.default_rng(seed).permutation(len(y))
     for lo in range(0, len(y), batch):
-        rows = order[lo : lo + batch]
-        n = size[rows]
-        ends = np.r_[0, np.cumsum(n)]
-        t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(start[rows], n)]
+        own = order[lo : lo + batch]
+        n = np.array([len(rows[r]) for r in own])
+        t = np.concatenate([rows[r] for r in own])
+        for r in own:
+            rows[r] = None
         use, ix = np.unique(t, return_inverse=True)
         by = np.argsort(ix, kind="stable")
-        out.append((y[rows], ends, use, ix.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int16), n)[by], np.searchsorted(ix[by], np.arange(len(use)))))
+        small = np.uint16 if len(use) < 1 << 16 else np.int32
+        out.append((y[own], np.r_[0, np.cumsum(n)], use, ix.astype(small), np.repeat(np.arange(len(own), dtype=np.int16), n)[by], np.searchsorted(ix[by], np.arange(len(use)))))
     return out
 
 
@@ -198,19 +200,35 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: i
     return m
 
 
+def _squeeze(batches):
+    """A batch of the sample as one row, its terms compressed."""
+    for b in batches:
+        lists = column(b, "terms")
+        step = np.diff(lists.flatten().to_numpy(), prepend=np.int32(0))  # terms rise within a document, so differences are small
+        raw = step.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+        cols = [column(b, "k").to_numpy(), column(b, "toxic").to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()], pa.binary()) for c in cols], pa.array([len(raw)]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())], ["k", "toxic", "size", "n", "terms"])
+
+
 def _sample_steps(sample: DataFrame) -> tuple[float, list[tuple]]:
     """(smoothed share of toxic rows, the sample's minibatches; none without both classes).  The rows
     are put in one order, however they came; only the batches outlive this call."""
-    got = sample.toArrow()
-    y = got.column("toxic").to_numpy()
-    order = np.lexsort((y, got.column("k").to_numpy()))
-    lists = got.column("terms").combine_chunks()
-    size = lists.value_lengths().to_numpy().astype(np.int64)
-    start = np.cumsum(size) - size
+    parts = sample.mapInArrow(_squeeze, "k binary, toxic binary, size binary, n long, terms binary").toArrow().to_batches()
+    k, y, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    while parts:
+        for r in parts.pop().to_pylist():
+            raw = np.frombuffer(pa.decompress(r["terms"], r["n"], codec="zstd", asbytes=True), np.uint8)
+            terms = np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32), dtype=np.int32)
+            k.append(np.frombuffer(r["k"], np.int64))
+            y.append(np.frombuffer(r["toxic"], np.int64))
+            rows += [x.copy() for x in np.split(terms, np.cumsum(np.frombuffer(r["size"], np.int64))[:-1])] if len(k[-1]) else []
+    k, y = np.concatenate(k), np.concatenate(y)
     share = (y.sum() + 0.1) / (len(y) + 2)  # 0.05 without any row
     if y.min(initial=1) == y.max(initial=0):
         return share, []
-    return share, minibatches(start[order], size[order], lists.flatten().to_numpy(), y[order].astype(np.float64))
+    order = np.lexsort((y, k))
+    rows = [rows[i] for i in order]
+    return share, minibatches(rows, y[order].astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:

@@ -231,7 +231,7 @@ def test_machine_by_plain_sums():
     def score(k, d):
         return k.w0 + sum(float(k.w[t]) * x[t] for t in d) + sum(float(k.v[a] @ k.v[b]) * x[a] * x[b] for i, a in enumerate(d) for b in d[i + 1 :])
 
-    steps = toxicity_fm.minibatches(np.cumsum(size) - size, size, term, y, batch=16)
+    steps = toxicity_fm.minibatches([np.array(d, np.int32) for d in docs], y, batch=16)
     m.fit(steps, 0.5, epochs=1)
     order, turn = np.random.default_rng(1).permutation(40), np.random.default_rng(1).permutation(len(steps))
     gw, gv, g0 = np.full(32, 1e-8), np.full((32, 3), 1e-8), 1e-8
