@@ -445,7 +445,7 @@ def nearest_site(c):
     return spatial.nearest(customers_xy(c), suppliers_xy(c), "ct", "id", "sid").select("id", r("km").alias("km"))
 
 
-@query(f"WITH a AS (SELECT c_custkey AS id, {_XY} FROM customer), b AS (SELECT s_suppkey AS sid, (s_suppkey * 7 % 360 - 180)::DOUBLE AS x, (s_suppkey * 3 % 140 - 70)::DOUBLE AS y FROM supplier) SELECT a.id AS a_id, b.sid AS b_id, round({_HAV.format(x1='a.x', y1='a.y', x2='b.x', y2='b.y')}, 4) AS km FROM a, b WHERE {_HAV.format(x1='a.x', y1='a.y', x2='b.x', y2='b.y')} <= 300 AND abs(a.x - b.x) < 180")
+@query(f"WITH a AS (SELECT c_custkey AS id, {_XY} FROM customer), b AS (SELECT s_suppkey AS sid, (s_suppkey * 7 % 360 - 180)::DOUBLE AS x, (s_suppkey * 3 % 140 - 70)::DOUBLE AS y FROM supplier) SELECT a.id AS a_id, b.sid AS b_id, round({_HAV.format(x1='a.x', y1='a.y', x2='b.x', y2='b.y')}, 4) AS km FROM a, b WHERE {_HAV.format(x1='a.x', y1='a.y', x2='b.x', y2='b.y')} <= 300")
 def radius_join(c):
     return spatial.within_radius(customers_xy(c), suppliers_xy(c).withColumnRenamed("sid", "id"), 300.0).withColumn("km", r("km"))
 
