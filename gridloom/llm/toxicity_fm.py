@@ -145,7 +145,10 @@ class Machine:
         gw, gv, g0 = np.full(len(self.w), 1e-8, np.float32), np.full(self.v.shape, 1e-8, np.float32), 1e-8
         for _ in range(epochs):
             for k in rng.permutation(len(steps)):
-                y, ends, use, ix, docs, cut = steps[k]
+                y, ends, use, ix = steps[k]
+                by = np.argsort(ix, kind="stable")  # the places of each term, one term after another
+                docs = np.repeat(np.arange(len(y), dtype=np.int16), np.diff(ends))[by]
+                cut = np.searchsorted(ix[by], np.arange(len(use)).astype(ix.dtype))
                 x, w, v = self.x[use], self.w[use], self.v[use]
                 z, s = self.raw(ends, ix, (x, w, v))
                 err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
@@ -162,22 +165,17 @@ class Machine:
                 self.w0 -= rate * float(err.sum()) / np.sqrt(g0)
 
 
-def minibatches(rows: list, y: np.ndarray, batch: int = 512, seed: int = 1) -> list[tuple]:
-    """(labels, ends of the documents, distinct terms, terms as places in them, the documents of each
-    term one after another, where each term's begin) of batches drawn once.  ``rows``: each
-    document's terms; they are let go as they are used."""
+def minibatches(start: np.ndarray, size: np.ndarray, term: np.ndarray, y: np.ndarray, batch: int = 512, seed: int = 1) -> list[tuple]:
+    """(labels, ends of the documents, distinct terms, terms as places in them) of batches drawn once;
+    the i-th document's terms are term[start[i]:][:size[i]]."""
     out = []
     order = np.random.default_rng(seed).permutation(len(y))
     for lo in range(0, len(y), batch):
         own = order[lo : lo + batch]
-        n = np.array([len(rows[r]) for r in own])
-        t = np.concatenate([rows[r] for r in own])
-        for r in own:
-            rows[r] = None
+        ends = np.r_[0, np.cumsum(size[own])]
+        t = term[np.arange(ends[-1]) - np.repeat(ends[:-1], size[own]) + np.repeat(start[own], size[own])]
         use, ix = np.unique(t, return_inverse=True)
-        by = np.argsort(ix, kind="stable")
-        small = np.uint16 if len(use) < 1 << 16 else np.int32
-        out.append((y[own], np.r_[0, np.cumsum(n)], use, ix.astype(small), np.repeat(np.arange(len(own), dtype=np.int16), n)[by], np.searchsorted(ix[by], np.arange(len(use)))))
+        out.append((y[own], ends, use, ix.astype(np.uint16 if len(use) < 1 << 16 else np.int32)))
     return out
 
 
@@ -214,21 +212,19 @@ def _sample_steps(sample: DataFrame) -> tuple[float, list[tuple]]:
     """(smoothed share of toxic rows, the sample's minibatches; none without both classes).  The rows
     are put in one order, however they came; only the batches outlive this call."""
     parts = sample.mapInArrow(_squeeze, "k binary, toxic binary, size binary, n long, terms binary").toArrow().to_batches()
-    k, y, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    while parts:
-        for r in parts.pop().to_pylist():
-            raw = np.frombuffer(pa.decompress(r["terms"], r["n"], codec="zstd", asbytes=True), np.uint8)
-            terms = np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32), dtype=np.int32)
-            k.append(np.frombuffer(r["k"], np.int64))
-            y.append(np.frombuffer(r["toxic"], np.int64))
-            rows += [x.copy() for x in np.split(terms, np.cumsum(np.frombuffer(r["size"], np.int64))[:-1])] if len(k[-1]) else []
-    k, y = np.concatenate(k), np.concatenate(y)
+    meta = [(np.frombuffer(r["k"], np.int64), np.frombuffer(r["toxic"], np.int64), np.frombuffer(r["size"], np.int64)) for p in parts for r in p.select(["k", "toxic", "size"]).to_pylist()]
+    k, y, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*meta) if meta else ([], [], [])))
     share = (y.sum() + 0.1) / (len(y) + 2)  # 0.05 without any row
     if y.min(initial=1) == y.max(initial=0):
         return share, []
+    term, at = np.empty(int(size.sum()), np.int32), 0
+    for p in parts:
+        for data, n in zip(p.column("terms"), p.column("n").to_pylist()):
+            raw = np.frombuffer(pa.decompress(data.as_buffer(), n, codec="zstd"), np.uint8)
+            np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32), dtype=np.int32, out=term[at : at + n // 4])
+            at += n // 4
     order = np.lexsort((y, k))
-    rows = [rows[i] for i in order]
-    return share, minibatches(rows, y[order].astype(np.float64))
+    return share, minibatches((np.cumsum(size) - size)[order], size[order], term, y[order].astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
