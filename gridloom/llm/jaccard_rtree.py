@@ -21,8 +21,8 @@ empty parts alone is impossible unless a document has that many empty ones, and
 then are its empty parts compared.
 
 Equal sets are one representative (their smallest id).  Families of more than
-``BLOCK`` representatives are cut by size band and compared block by block, in tasks of
-two blocks each, so a set travels to two or three tasks.  A task emits a spanning forest of its links, never all pairs; no link between components
+``BLOCK`` representatives, or ``BULK`` shingles, are cut by size band and compared block by
+block, in tasks of two blocks each, so a set travels to two or three tasks.  A task emits a spanning forest of its links, never all pairs; no link between components
 is lost, since a document is only spared the pairs inside its own component.
 
 Edge cases: null, empty or blank text has no shingles and is its own component; fewer
@@ -42,6 +42,8 @@ from .common import U64, as_bytes, column, connected_components, lower_ascii, ma
 
 GROUPS = 256
 BLOCK = 2048
+#: Shingles of a block's sets: long documents make blocks of fewer.
+BULK = 1 << 20
 #: Signatures are dealt to this many buckets at least, so that what meets in several of
 #: them grows with the documents alone.
 BUCKETS = 64
@@ -175,11 +177,11 @@ class RTree:
 def link_blocks(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], within: bool, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between side 0 and side 1 and, if ``within``, inside side 0."""
     n = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(len(n)), n)
     flat = np.concatenate(sets).view(U64) if len(sets) else np.zeros(0, U64)
     start = np.cumsum(n) - n
-    points = np.bincount(doc * GROUPS + (flat % U64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-    points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
+    points = np.zeros((len(n), GROUPS), np.int16 if n.max(initial=0) < 1 << 15 else np.int32)
+    for i, own in enumerate(sets):
+        points[i] = np.bincount((own.view(U64) % U64(GROUPS)).astype(np.int64), minlength=GROUPS)
     root = np.arange(len(n))
     out = []
     base = np.flatnonzero(side == 0)
@@ -213,15 +215,15 @@ def tasks_of(families: DataFrame, low: list[int]) -> DataFrame:
     """(id, component, n) -> id, component, kind, band, lo, hi, side, within: the tasks that
     a representative takes part in.
 
-    A family of up to BLOCK is one task.  A larger one is cut by size band, since linked
-    sets are of one band or of neighbours, and a band into blocks of about BLOCK: every
-    block meets the blocks of its own band and of the next.
+    A family of up to BLOCK, and BULK shingles, is one task.  A larger one is cut by size band,
+    since linked sets are of one band or of neighbours, and a band into blocks of about BLOCK
+    or BULK, whichever are more: every block meets the blocks of its own band and of the next.
     """
     band = F.size(F.filter(F.array(*map(F.lit, low)), lambda x: x <= F.col("n"))) - 1
-    f = families.select("id", "component", band.alias("band"))
-    sizes = f.groupBy("component", "band").agg(F.count("*").alias("c"))
-    total = sizes.groupBy("component").agg(F.sum("c").alias("m"))
-    blocks = sizes.select("component", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))
+    f = families.select("id", "component", "n", band.alias("band"))
+    sizes = f.groupBy("component", "band").agg((F.count("*") / BLOCK).alias("c"), (F.sum("n") / BULK).alias("w"))
+    total = sizes.groupBy("component").agg(F.greatest(F.sum("c"), F.sum("w")).alias("m"))
+    blocks = sizes.select("component", "band", F.ceil(F.greatest("c", "w")).cast("int").alias("k"))
     plan = blocks.join(total, "component")
     for name, step in (("up", 1), ("down", -1)):
         plan = plan.join(blocks.select("component", (F.col("band") - step).alias("band"), F.col("k").alias(name)), ["component", "band"], "left")
@@ -235,7 +237,7 @@ def tasks_of(families: DataFrame, low: list[int]) -> DataFrame:
     lower = F.transform(F.sequence(zero, F.greatest(F.coalesce("up", zero), F.lit(1)) - 1), lambda j: task(1, F.col("band"), F.col("own"), j, 0, (F.col("k") == 1) & (j == 0)))
     upper = F.when(F.col("down") > 0, F.transform(F.sequence(zero, F.col("down") - 1), lambda i: task(1, F.col("band") - 1, i, F.col("own"), 1, (F.col("down") == 1) & (F.col("own") == 0)))).otherwise(F.array().cast("array<struct<kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"))
     same = F.when(F.col("k") > 1, F.transform(F.sequence(zero, F.col("k") - 1), lambda o: task(2, F.col("band"), F.least("own", o), F.greatest("own", o), F.when(F.col("own") <= o, 0).otherwise(1), F.col("own") == o))).otherwise(F.array().cast("array<struct<kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"))
-    every = F.when(F.col("m") <= BLOCK, alone).otherwise(F.concat(lower, upper, same))
+    every = F.when(F.col("m") <= 1, alone).otherwise(F.concat(lower, upper, same))
     return d.select("id", "component", F.explode(every).alias("x")).select("id", "component", "x.*")
 
 
@@ -312,28 +314,27 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
     def with_sets(batches):
         for b in batches:
             for i, j, h, n in _scan(b, k):
-                at = np.r_[0, np.cumsum(n)].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("tasks").slice(i, j - i), lists], ["id", "tasks", "set"])
+                at = np.r_[0, np.cumsum(n) * 8].astype(np.int64)
+                packed_sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(h)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("tasks").slice(i, j - i), packed_sets], ["id", "tasks", "set"])
 
     task_type = "array<struct<component:bigint,kind:int,band:int,lo:int,hi:int,side:int,within:boolean>>"
     packed_tasks = places.groupBy("id").agg(F.collect_list(F.struct("component", "kind", "band", "lo", "hi", "side", "within")).alias("tasks"))
-    texts = d.join(packed_tasks.hint("merge"), "id").select("id", "tasks", "text").mapInArrow(with_sets, f"id long, tasks {task_type}, set array<long>").where("size(set) > 0")
+    texts = d.join(packed_tasks.hint("merge"), "id").select("id", "tasks", "text").mapInArrow(with_sets, f"id long, tasks {task_type}, set binary").where("length(set) > 0")
     spread = texts.select("id", "set", F.explode("tasks").alias("t")).select("t.*", "id", "set")
     spread = spread.withColumn("bucket", F.when(F.col("kind") == 0, F.pmod(F.xxhash64("component"), F.lit(4 * buckets))).otherwise(F.xxhash64("component", "kind", "band", "lo", "hi")))
 
     def verify(t: pa.Table) -> pa.Table:
         names = ("component", "kind", "band", "lo", "hi")
-        t = t.sort_by([(c, "ascending") for c in (*names, "id")])
-        key = np.stack([t.column(c).to_numpy() for c in names])
-        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-        lists = t.column("set").combine_chunks()
-        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        within = t.column("within").to_numpy()
+        order = np.lexsort([t.column(c).to_numpy() for c in ("id", *names[::-1])])
+        key = np.stack([t.column(c).to_numpy()[order] for c in names])
+        ids, side = t.column("id").to_numpy()[order], t.column("side").to_numpy()[order]
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("set")]  # no copies
+        within = t.column("within").to_numpy()[order]
         cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
         pairs: list = []
         for a, z in zip(cut, np.r_[cut[1:], key.shape[1]]):
-            pairs += link_blocks(ids[a:z], side[a:z], [flat[off[r] : off[r + 1]].view(U64) for r in range(a, z)], bool(within[a:z].any()), num, den)
+            pairs += link_blocks(ids[a:z], side[a:z], [sets[r] for r in order[a:z]], bool(within[a:z].any()), num, den)
         arr = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.table([arr[:, 0], arr[:, 1]], names=["a", "b"])
 

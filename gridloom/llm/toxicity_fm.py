@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, column, fold_words, materialise, mix64, pieces, prefix_hash, word_spans
+from .common import U64, as_bytes, column, fold_words, materialise, mix64, pieces, prefix_hash, release, word_spans
 
 BITS = 18
 THRESHOLD = 0.3
@@ -195,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: i
     m.w0 = float(np.log(share / (1 - share)))
     if steps:
         m.fit(steps, share)
+    del steps
+    release()  # later queries of this driver find it as small as before
     return m
 
 
@@ -223,6 +225,8 @@ def _sample_steps(sample: DataFrame) -> tuple[float, list[tuple]]:
             raw = np.frombuffer(pa.decompress(data.as_buffer(), n, codec="zstd"), np.uint8)
             np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32), dtype=np.int32, out=term[at : at + n // 4])
             at += n // 4
+    parts = meta = p = data = raw = None  # noqa: F841
+    release()
     order = np.lexsort((y, k))
     return share, minibatches((np.cumsum(size) - size)[order], size[order], term, y[order].astype(np.float64))
 

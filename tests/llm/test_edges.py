@@ -153,6 +153,16 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none, keep=["doc_id"]).count() == 0
 
 
+def test_long_texts_make_blocks_of_fewer(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    near = spark.createDataFrame([(i, " ".join(words[:-1] + [f"end{i}"])) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_rtree, "BULK", 2000)
+    families = spark.createDataFrame([(i, 0, 396) for i in range(40)], "id long, component long, n long")
+    tasks = jaccard_rtree.tasks_of(families, [1, 100, 1000]).groupBy("kind", "band", "lo", "hi").agg(F.count("*").alias("m"))
+    assert tasks.agg(F.max("m")).first()[0] < 40  # not the whole family in one task
+    assert {r["component_id"] for r in jaccard_rtree.join(near).collect()} == {0}
+
+
 def test_jaccard(spark, docs, none):
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_rtree.join(docs, k=3, num=90, den=100).collect())
     d = {k: (n, c) for k, n, c in got}
