@@ -24,6 +24,11 @@ def reindex(df: DataFrame, spine: DataFrame, on: list[str], fill=None) -> DataFr
     return out if fill is None else out.fillna(fill)
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles whatever their order: added as decimals of 18 places, rounded once."""
+    return F.sum(x.cast("decimal(38,18)"))
+
+
 def lookup(df: DataFrame, mapping: DataFrame, key: str, map_key: str, value: str, out: str, keep_unmapped: bool = False) -> DataFrame:
     """``out`` = the mapping's value of ``key``; NULL, or the key itself, if unmapped.
 

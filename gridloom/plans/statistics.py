@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.frames import exact_sum
+
 BRANCHES = ("Line", "Link")
 STORAGE = ("Store", "StorageUnit")
 
@@ -194,16 +196,29 @@ def bus_balance(f: DataFrame, bus: str, least: float = 1e-2) -> DataFrame:
     return d.join(big, "carrier", "left_semi")
 
 
+def _ordered_variance(x: str, by: str) -> Column:
+    """The sample variance of a group of few rows, by Welford's steps in the order of ``by``."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, r: Column) -> Column:
+        m = a["m"] + (r[x] - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), m.alias("m"), (a["s"] + (r[x] - a["m"]) * (r[x] - m)).alias("s"))
+
+    rows = F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct(by, x))))
+    return F.aggregate(rows, start, step, lambda a: F.when(a["n"] > 1, a["s"] / (a["n"] - 1)))
+
+
 def balance_series(f: DataFrame, bus_carriers: list[str], max_threshold: float, mean_threshold: float) -> DataFrame:
     """snapshot, carrier, rank, positive, negative (GW) of a group of bus carriers: carriers small in
     both greatest and mean absolute value become "other"; ranks rise with the variance of the
-    carrier over its greatest value."""
-    d = f.where(F.col("bus_carrier").isin(*bus_carriers)).groupBy("snapshot", "carrier").agg((F.sum("p") / 1e3).alias("p"))
+    carrier over its greatest value.  Carriers of one shape differ there by rounding alone, so sums are
+    exact and variances run in the order of snapshots: a rerun ranks alike."""
+    d = f.where(F.col("bus_carrier").isin(*bus_carriers)).groupBy("snapshot", "carrier").agg((exact_sum(F.col("p")).cast("double") / 1e3).alias("p"))
     n = d.select("snapshot").distinct().agg(F.count("*").alias("n"))
     size = d.groupBy("carrier").agg(F.max(F.abs("p")).alias("top"), F.sum(F.abs("p")).alias("s")).crossJoin(F.broadcast(n))  # a single row
     small = size.where((F.col("top") < max_threshold) & (F.col("s") / F.col("n") < mean_threshold)).select("carrier", F.lit("other").alias("to"))
-    d = d.join(small, "carrier", "left").groupBy("snapshot", F.coalesce("to", "carrier").alias("carrier")).agg(F.sum("p").alias("p"))
-    var = d.groupBy("carrier").agg(F.max("p").alias("top"), F.var_samp("p").alias("v")).select("carrier", F.try_divide("v", F.col("top") * F.col("top")).alias("v"))
+    d = d.join(small, "carrier", "left").groupBy("snapshot", F.coalesce("to", "carrier").alias("carrier")).agg(exact_sum(F.col("p")).cast("double").alias("p"))
+    var = d.groupBy("carrier").agg(F.max("p").alias("top"), _ordered_variance("p", "snapshot").alias("v")).select("carrier", F.try_divide("v", F.col("top") * F.col("top")).alias("v"))
     rank = var.withColumn("rank", F.row_number().over(W.orderBy(F.col("v").asc_nulls_last(), "carrier")))  # a row for each carrier
     j = d.join(rank.select("carrier", "rank"), "carrier")
     return j.select("snapshot", "carrier", "rank", F.greatest("p", F.lit(0.0)).alias("positive"), F.least("p", F.lit(0.0)).alias("negative"))

@@ -271,3 +271,13 @@ def test_cluster_allocation():
     from gridloom.operators.network import allocate_clusters
 
     assert allocate_clusters({"a": 60.0, "b": 30.0, "c": 10.0}, {"a": 4, "b": 9, "c": 9}, 10) == {"a": 4, "b": 4, "c": 2}
+
+
+def test_balance_series_ranks_alike_in_any_order(spark):
+    from gridloom.plans import statistics as st
+
+    parts = {"a": (1e16, 0.0, -1e16), "b": (1e16, -1e16, 0.0)}  # in this order a sum of doubles loses what "a" adds in between
+    data = [("AC", t, c, x + (t * 1e3 if x == 0 else 0)) for c, xs in parts.items() for t in (1, 2, 3) for x in xs]
+    f = spark.createDataFrame(data, "bus_carrier string, snapshot int, carrier string, p double").coalesce(1)
+    got = rows(st.balance_series(f, ["AC"], 0.5, 0.3), "carrier", "snapshot", "rank", "positive")
+    assert got == [(c, t, k, float(t)) for k, c in ((1, "a"), (2, "b")) for t in (1, 2, 3)]
