@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine
+from ..functions.scalars import EARTH_KM, haversine
+
+
+#: Cells of the nearest search: cubes around the unit sphere with edges of 2^(1 - level); level -1 is one cube.
+LEVELS = range(-1, 21)
+_SHIFT = (1.1234, 1.2417, 1.1971)  # keeps the equator and the great meridians off the cubes' faces
+
+
+def _known(*cols) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.abs(c) < float("inf")) for c in cols])
+
+
+def _cube(x: Column, y: Column, level: Column) -> Column:
+    lon, lat = F.radians(x), F.radians(y)
+    at = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    return F.struct(level.alias("level"), *[F.floor((a + s) * F.pow(F.lit(2.0), level - 1)).alias(n) for n, a, s in zip("ijk", at, _SHIFT)])
 
 
 def nearest(points: DataFrame, sites: DataFrame, within: str, point_id: str, site_id: str) -> DataFrame:
     """The nearest site of the same ``within`` group (x, y in degrees), least id on a tie.
 
-    The minimum is a partial aggregate, so pairs never leave their tasks.
+    Exact, without all pairs: places that occur several times are searched once.  A site in the
+    smallest occupied cube around a point bounds the distance; nothing nearer is beyond the 27
+    cubes of an edge of at least that bound, and only their sites are compared.  Without known
+    coordinates the distance is null and the site the group's least id.
     """
-    s = sites.select(within, F.col(site_id).alias("_sid"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
-    d = haversine(F.col("x"), F.col("y"), F.col("_sx"), F.col("_sy"))
-    best = points.join(s, within).groupBy(point_id).agg(F.min(F.struct(d.alias("d"), F.col("_sid").alias("s"))).alias("m"))
-    return best.select(point_id, F.col("m.s").alias(site_id), F.col("m.d").alias("km"))
+    s = sites.select(F.col(within).alias("_g"), F.col(site_id).alias("_sid"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
+    levels = F.array(*map(F.lit, LEVELS))
+    cube = ["_g", "level", "i", "j", "k"]
+    place = s.where(_known("_sx", "_sy")).groupBy("_g", "_sx", "_sy").agg(F.min("_sid").alias("_sid"))
+    at = place.select("*", F.explode(F.transform(levels, lambda l: _cube(F.col("_sx"), F.col("_sy"), l))).alias("c")).select("_g", "c.*", "_sid", "_sx", "_sy")
+    some = at.groupBy(*cube).agg(F.min(F.struct("_sid", "_sx", "_sy")).alias("m"))
+    p = points.select(F.col(within).alias("_g"), F.col("x").alias("_x"), F.col("y").alias("_y")).where(_known("_x", "_y")).distinct()
+    own = p.select("*", F.explode(F.transform(levels, lambda l: _cube(F.col("_x"), F.col("_y"), l))).alias("c")).select("_g", "_x", "_y", "c.*")
+    met = own.join(some, cube).groupBy("_g", "_x", "_y").agg(F.max(F.struct("level", "m")).alias("m"))
+    # The chord to that site, with a reserve for rounding.
+    chord = 2 * F.sin(haversine(F.col("_x"), F.col("_y"), F.col("m.m._sx"), F.col("m.m._sy")) / (2 * EARTH_KM)) * (1 + 1e-6) + 1e-9
+    level = F.greatest(F.least(F.floor(1 - F.log2(chord)).cast("int"), F.lit(LEVELS[-1])), F.lit(LEVELS[0]))
+    c = met.select("_g", "_x", "_y", _cube(F.col("_x"), F.col("_y"), level).alias("c"))
+    around = F.array(*[F.struct(*[(F.col(f"c.{n}") + d).alias(n) for n, d in zip("ijk", step)]) for step in product((-1, 0, 1), repeat=3)])
+    asked = c.select("_g", "_x", "_y", "c.level", F.explode(around).alias("a")).select("_g", "_x", "_y", "level", "a.*")
+    d = haversine(F.col("_x"), F.col("_y"), F.col("_sx"), F.col("_sy"))
+    best = asked.join(at, cube).groupBy("_g", "_x", "_y").agg(F.min(F.struct(d.alias("d"), F.col("_sid").alias("s"))).alias("b"))
+    least = s.groupBy("_g").agg(F.min("_sid").alias("least"))
+    j = points.select(F.col(within).alias("_g"), F.col(point_id), F.col("x").alias("_x"), F.col("y").alias("_y")).join(least, "_g").join(best, ["_g", "_x", "_y"], "left")
+    m = F.min(F.struct(F.col("b").isNull().alias("none"), F.col("b.d").alias("d"), F.coalesce("b.s", "least").alias("s")))
+    return j.groupBy(point_id).agg(m.alias("m")).select(point_id, F.col("m.s").alias(site_id), F.col("m.d").alias("km"))
 
 
 def cells(x, y, size: float):

@@ -281,3 +281,19 @@ def test_balance_series_ranks_alike_in_any_order(spark):
     f = spark.createDataFrame(data, "bus_carrier string, snapshot int, carrier string, p double").coalesce(1)
     got = rows(st.balance_series(f, ["AC"], 0.5, 0.3), "carrier", "snapshot", "rank", "positive")
     assert got == [(c, t, k, float(t)) for k, c in ((1, "a"), (2, "b")) for t in (1, 2, 3)]
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    hav = lambda a, b: 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2)))
+    spread = lambda n, size: [(float(rng.uniform(-180, 180)), float(rng.uniform(-90, 90))) for _ in range(n)] + [(float(x), float(y)) for x, y in rng.normal((10, 50), size, (n, 2))]
+    odd = [(180.0, 0.0), (-180.0, 0.0), (0.0, 90.0), (77.0, 90.0), (0.0, -90.0), (0.0, 0.0), (10.0, 50.0), (10.0, 50.0)]
+    points = [(i, i % 2, *xy) for i, xy in enumerate(spread(40, 0.01) + odd)]
+    sites = [(i, i % 3, *xy) for i, xy in enumerate(spread(30, 0.001) + odd)]
+    p = spark.createDataFrame([*points, (1000, 0, None, 1.0), (1001, 9, 1.0, 1.0)], "id int, g int, x double, y double")
+    s = spark.createDataFrame([*sites, (-1, 0, None, 5.0)], "sid int, g int, x double, y double")
+    got = {i: (sid, km) for i, sid, km in spatial.nearest(p, s, "g", "id", "sid").collect()}
+    assert got.pop(1000) == (-1, None) and set(got) == {q[0] for q in points}
+    for i, g, *xy in points:
+        km = {q: hav(xy, at) for q, h, *at in sites if h == g}
+        assert got[i][1] == pytest.approx(min(km.values()), abs=1e-4) and km[got[i][0]] == pytest.approx(min(km.values()), abs=1e-4)
