@@ -297,3 +297,11 @@ def test_nearest_equals_all_pairs(spark):
     for i, g, *xy in points:
         km = {q: hav(xy, at) for q, h, *at in sites if h == g}
         assert got[i][1] == pytest.approx(min(km.values()), abs=1e-4) and km[got[i][0]] == pytest.approx(min(km.values()), abs=1e-4)
+
+
+def test_port_shares_by_nearest_known_node(spark):
+    from gridloom.operators import sectors
+
+    ports = spark.createDataFrame([(1, "A", 179.9, 0.0, 3.0), (2, "A", 0.0, 50.0, 1.0), (3, "B", 5.0, 5.0, 2.0)], "port int, ct string, x double, y double, outflow double")
+    nodes = spark.createDataFrame([(7, "A", -179.9, 0.0), (8, "A", 0.0, 51.0), (6, "A", None, 0.0), (9, "B", 0.0, 0.0)], "node int, ct string, x double, y double")
+    assert rows(sectors.port_shares(ports, nodes, "ct"), "ct", "node", "share") == [("A", 7, 0.75), ("A", 8, 0.25), ("B", 9, 1.0)]
