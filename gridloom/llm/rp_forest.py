@@ -7,7 +7,8 @@ squared distance to the violated splits, until the leaves visited hold
 ``share`` times the rows; since leaf sizes are known, the queue's end is one priority per
 query.  Rows of the visited leaves are reranked by their exact inner product; a pair is
 scored in the first tree whose leaf holds it, and a task returns no row under the 2k-th
-best of the sample.  Queries left with fewer than k rows by that are searched once more
+best of the sample: single precision, with a reserve for its error, sets most pairs aside, and
+only what is left is looked up in the queues and summed exactly.  Queries left with fewer than k rows by that are searched once more
 without it.
 
 Scale: rows are dealt by (tree, leaf range, salt), queries in blocks of ``QUERY_BLOCK``;
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-QUERY_BLOCK = 2048
-CELL = 4096
-CHUNK = 1024
+QUERY_BLOCK = 8192
+CELL = 16384
+CHUNK = 2048
 
 
 def usable(vec: Column) -> Column:
@@ -91,6 +92,16 @@ class Forest:
             cost = (cost[:, :, None] + both).reshape(len(q), -1)
         return cost
 
+    def visited(self, q: np.ndarray, t: int, stop: np.ndarray, r: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Whether query r[i] visits leaf[i] of tree t: the priority of single leaves."""
+        proj, node = q @ self.dirs[t], leaf + (1 << self.depth)
+        cost = np.zeros(len(r))
+        for lev in range(self.depth):
+            gap = proj[r, lev] - self.cuts[t, (node >> (self.depth - lev)) - 1]
+            right = (node >> (self.depth - lev - 1)) & 1 == 1
+            cost += np.where((gap > 0) != right, gap, 0) ** 2
+        return cost <= stop[r]
+
     def stop(self, q: np.ndarray, sizes: np.ndarray, budget: float) -> np.ndarray:
         """The priority at which a query's shared queue has visited ``budget`` rows."""
         p = np.concatenate([self.priorities(q, t) for t in range(self.trees)], 1)
@@ -100,27 +111,26 @@ class Forest:
         return p[np.arange(len(q)), order[np.arange(len(q)), last]]
 
 
-def _nearest(q, qid, x, xid, sel, leaf_of, earlier, k, out):
-    """Exact scores of the rows in leaves that each query visits; the best k per query.
-    ``earlier``: (visited leaves, the rows' leaves) of the trees before."""
-    scores = np.full((len(q), len(x)), -np.inf)
-    for leaf in np.unique(leaf_of):
-        cols = np.flatnonzero(leaf_of == leaf)
-        rows = np.flatnonzero(sel[:, leaf])
-        if len(rows):
-            scores[np.ix_(rows, cols)] = q[rows] @ x[cols].T
-    scores[qid[:, None] == xid[None]] = -np.inf
-    for seen, where in earlier:
-        scores[seen[:, where]] = -np.inf
-    top = np.abs(scores[np.isfinite(scores)]).max(initial=0.0) or 1.0
-    rank = np.argsort(np.argsort(xid, kind="stable"))
-    key = np.where(np.isfinite(scores), np.round(np.nan_to_num(scores, neginf=0) / top * 2.0**44), -(2.0**50)).astype(np.int64) * 2048 - rank[None]
-    take = min(k + 4, len(x))
-    best = np.argpartition(-key, take - 1, 1)[:, :take]
-    r, c = np.nonzero(np.isfinite(np.take_along_axis(scores, best, 1)))
-    c = best[r, c]
-    exact = (q[r] * x[c]).sum(1)  # the same sum for a pair wherever it is met
-    out.append((r, xid[c], exact))
+def _nearest(forest: Forest, t: int, q, qid, stop, bound, x, xid, leaves):
+    """(query, row id, exact score) of the pairs that tree ``t`` is the first to visit and whose
+    score is ``bound`` or more."""
+    # Scores in single precision, scaled to fit; they err by less than the slack.
+    high, top = np.abs(q).max(1), np.abs(x).max()
+    a, b = (q / high[:, None]).astype(np.float32), (x / top).astype(np.float32)
+    slack = 4e-7 * (q.shape[1] + 8) * np.linalg.norm(a, axis=1).astype(float) * float(np.linalg.norm(b, axis=1).max())
+    least = np.nextafter((bound / high / top - slack).astype(np.float32), np.float32(-np.inf))
+    rs, cs = np.nonzero(a @ b.T >= least[:, None])
+    out = []
+    for lo in range(0, len(rs), 32768):
+        r, c = rs[lo : lo + 32768], cs[lo : lo + 32768]
+        for e in range(t, -1, -1):
+            seen = forest.visited(q, e, stop, r, leaves[c, e]) == (e == t)
+            r, c = r[seen], c[seen]
+        r, c = r[qid[r] != xid[c]], c[qid[r] != xid[c]]
+        exact = (q[r] * x[c]).sum(1)  # the same sum for a pair wherever it is met
+        ok = exact >= bound[r]
+        out.append((r[ok], xid[c[ok]], exact[ok]))
+    return out
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 6, share: float = 1.4, sample_rows: int = 65536, leaf_rows: int = 24, max_depth: int = 13, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -206,7 +216,7 @@ def _search(v: DataFrame, dim: int, n: int, k: int, trees: int, share: float, sa
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     lut = spark.createDataFrame([(t, leaf, int(cell[t, leaf]), salts.get(int(cell[t, leaf]), 1)) for t in range(trees) for leaf in range(1 << depth)], "tree int, leaf long, cell long, salts int")
     data = rows.join(F.broadcast(lut), ["tree", "leaf"]).select(  # at most trees x 2^max_depth rows
-        "tree", "leaf", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("salts")).cast("long").alias("salt"), "id", "vec", "leaves", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        "tree", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("salts")).cast("long").alias("salt"), "id", "vec", "leaves", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
     every = lut.select("cell", "salts").distinct()
     asked = queries.select("query_id", "q", "stop", "bound", F.pmod(F.xxhash64("query_id", F.lit("b")), F.lit(blocks)).cast("int").alias("block"), F.explode("cells").alias("cell"))
@@ -217,19 +227,16 @@ def _search(v: DataFrame, dim: int, n: int, k: int, trees: int, share: float, sa
         if not left.num_rows or not right.num_rows:
             return out_schema.empty_table()
         t = left.column("tree")[0].as_py()
-        left = left.sort_by("id")
-        x, xid, leaf = _matrix(left.column("vec")), left.column("id").to_numpy(), left.column("leaf").to_numpy()
-        others = np.asarray(left.column("leaves").combine_chunks().flatten()).reshape(len(x), -1)
+        x, xid = _matrix(left.column("vec")), left.column("id").to_numpy()
+        leaves = np.asarray(left.column("leaves").combine_chunks().flatten()).reshape(len(x), -1)
         ids, scs, qids = [], [], []
         for a in range(0, right.num_rows, 512):
             part = right.slice(a, 512)
             q, qid = _matrix(part.column("q")), part.column("query_id").to_numpy()
-            stop = part.column("stop").to_numpy()[:, None]
-            sel = bc.value.priorities(q, t) <= stop
-            before = [bc.value.priorities(q, e) <= stop for e in range(t)]
-            found: list = []
+            stop, bound = part.column("stop").to_numpy(), part.column("bound").to_numpy()
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for b in range(0, len(x), CHUNK):
-                _nearest(q, qid, x[b : b + CHUNK], xid[b : b + CHUNK], sel, leaf[b : b + CHUNK], [(m, others[b : b + CHUNK, e]) for e, m in enumerate(before)], k, found)
+                found += _nearest(bc.value, t, q, qid, stop, bound, x[b : b + CHUNK], xid[b : b + CHUNK], leaves[b : b + CHUNK])
             r, i, s = (np.concatenate(z) for z in zip(*found))
             order = np.lexsort((i, -s, r))
             r, i, s = r[order], i[order], s[order]
@@ -237,7 +244,7 @@ def _search(v: DataFrame, dim: int, n: int, k: int, trees: int, share: float, sa
             new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
             r, i, s = r[new], i[new], s[new]
             first = np.searchsorted(r, r)
-            ok = (np.arange(len(r)) - first < k) & (s >= part.column("bound").to_numpy()[r])
+            ok = np.arange(len(r)) - first < k
             qids.append(qid[r[ok]]), ids.append(i[ok]), scs.append(s[ok])
         return pa.table([np.concatenate(qids), np.concatenate(ids), np.concatenate(scs)], schema=out_schema)
 

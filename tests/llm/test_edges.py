@@ -196,3 +196,24 @@ def test_warc_lookup(spark):
     got = sorted(r["page_id"] for r in warc_index.lookup(urls, table, root).collect())
     want = sorted(r["page_id"] for r in pages.join(urls, "url", "left_semi").collect())
     assert got == want
+
+
+def test_forest_scores_each_visited_pair_once_and_exactly():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 9)) * 10.0 ** rng.integers(-3, 3, (600, 1))
+    q, qid, xid = x[:50], np.arange(50), np.arange(600)
+    f = rp_forest.Forest(x, 3, 5)
+    leaves = f.leaves(x)
+    sizes = np.stack([np.bincount(leaves[:, t], minlength=32) for t in range(3)])
+    stop = f.stop(q, sizes, 0.7 * len(x))
+    seen = np.zeros((3, 50, 600), bool)
+    for t in range(3):
+        seen[t] = (f.priorities(q, t) <= stop[:, None])[:, leaves[:, t]]
+    exact = (q[:, None] * x[None]).sum(2)
+    bound = np.sort(exact, 1)[:, -60]
+    bound[:5] = -np.inf
+    got = [(r, i, s) for t in range(3) for part in rp_forest._nearest(f, t, q, qid, stop, bound, x, xid, leaves) for r, i, s in zip(*part)]
+    want = {(r, i): exact[r, i] for r, i in zip(*np.nonzero(seen.any(0) & (exact >= bound[:, None]))) if r != i}
+    assert len(got) == len(want) and {(r, i): s for r, i, s in got} == want
