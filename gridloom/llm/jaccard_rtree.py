@@ -43,7 +43,7 @@ from .common import U64, as_bytes, column, connected_components, lower_ascii, ma
 GROUPS = 256
 BLOCK = 2048
 #: Shingles of a block's sets: long documents make blocks of fewer.
-BULK = 1 << 20
+BULK = 1 << 22
 #: Signatures are dealt to this many buckets at least, so that what meets in several of
 #: them grows with the documents alone.
 BUCKETS = 64
