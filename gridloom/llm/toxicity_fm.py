@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, column, fold_words, materialise, mix64, pieces, prefix_hash, release, word_spans
+from .common import U64, as_bytes, column, fold_words, materialise, mix64, pieces, prefix_hash, release, tidy, word_spans
 
 BITS = 18
 THRESHOLD = 0.3
@@ -182,21 +182,36 @@ def minibatches(start: np.ndarray, size: np.ndarray, term: np.ndarray, y: np.nda
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, factors: int = 8, mod: int = 4, keep: int = 2) -> Machine:
     """A machine fitted on rows outside the fold ``crc32(doc_id) mod mod = keep``.
 
-    To the driver come at most 2^BITS counts and the terms of max_rows expected rows: some
-    600 of 4 bytes a row, 100 MB at the default, whatever the size of the input.
+    One task fits it, on the terms of max_rows expected rows: some 600 of 4 bytes a row, 100 MB
+    at the default, whatever the size of the input.  To the driver come 2^BITS counts at most and
+    the weights.
     """
     rows = materialise(training_rows(docs, labels, mod, keep), "tox")
     x, total = relevance(term_counts(rows).toArrow())
     # A seeded share of the rows, so that max_rows are expected at most and no sort is needed.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fm")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))
     sample = rows.where(drawn).select("terms", "toxic", F.xxhash64("doc_id", "terms").alias("k"))
+    x = x.astype(np.float32)
+
+    def fit(batches):
+        share, steps = _sample_steps(list(batches))
+        m = Machine(x, factors)
+        m.w0 = float(np.log(share / (1 - share)))
+        if steps:
+            m.fit(steps, share)
+        del steps
+        release()  # later tasks of this worker find it as small as before
+        yield pa.RecordBatch.from_arrays([pa.array([m.w0]), pa.array([m.w.tobytes()], pa.binary()), pa.array([m.v.tobytes()], pa.binary())], ["w0", "w", "v"])
+
+    packed = sample.mapInArrow(_squeeze, "k binary, toxic binary, size binary, n long, terms binary").repartition(1)
+    got = packed.mapInArrow(fit, "w0 double, w binary, v binary").first()
     m = Machine(x, factors)
-    share, steps = _sample_steps(sample)
-    m.w0 = float(np.log(share / (1 - share)))
-    if steps:
-        m.fit(steps, share)
-    del steps
-    release()  # later queries of this driver find it as small as before
+    m.w0 = float(np.log(0.05 / 0.95))
+    if got:  # nothing, where Spark skips a task without rows
+        m.w0, m.w, m.v = got["w0"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(m.v.shape)
+    del got
+    tidy(docs.sparkSession)
+    release()
     return m
 
 
@@ -210,10 +225,9 @@ def _squeeze(batches):
         yield pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()], pa.binary()) for c in cols], pa.array([len(raw)]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())], ["k", "toxic", "size", "n", "terms"])
 
 
-def _sample_steps(sample: DataFrame) -> tuple[float, list[tuple]]:
+def _sample_steps(parts: list[pa.RecordBatch]) -> tuple[float, list[tuple]]:
     """(smoothed share of toxic rows, the sample's minibatches; none without both classes).  The rows
     are put in one order, however they came; only the batches outlive this call."""
-    parts = sample.mapInArrow(_squeeze, "k binary, toxic binary, size binary, n long, terms binary").toArrow().to_batches()
     meta = [(np.frombuffer(r["k"], np.int64), np.frombuffer(r["toxic"], np.int64), np.frombuffer(r["size"], np.int64)) for p in parts for r in p.select(["k", "toxic", "size"]).to_pylist()]
     k, y, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*meta) if meta else ([], [], [])))
     share = (y.sum() + 0.1) / (len(y) + 2)  # 0.05 without any row

@@ -217,3 +217,32 @@ def test_forest_scores_each_visited_pair_once_and_exactly():
     got = [(r, i, s) for t in range(3) for part in rp_forest._nearest(f, t, q, qid, stop, bound, x, xid, leaves) for r, i, s in zip(*part)]
     want = {(r, i): exact[r, i] for r, i in zip(*np.nonzero(seen.any(0) & (exact >= bound[:, None]))) if r != i}
     assert len(got) == len(want) and {(r, i): s for r, i, s in got} == want
+
+
+def test_jaccard_texts_and_sets_travel_alike(spark):
+    """Whether texts of short or very long words, and rows of both kinds in one task."""
+    say = lambda n, word: " ".join(f"{word}{i}" for i in range(n))
+    rows = [(1, say(300, "a"), "s"), (2, say(300, "a") + " end", "s"), (3, say(300, "b" * 60), "s"), (4, say(300, "b" * 60) + " end", "s"), (5, say(300, "c"), "s"), (6, say(300, "a") + " " + "d" * 9000, "s")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_rtree.join(_docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 1}
+
+
+def test_components_drop_what_their_edges_came_from(spark, monkeypatch):
+    from gridloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "tidy", calls.append)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
+    got = {r["id"]: r["component"] for r in common.connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} and len(calls) == 2
+
+
+def test_machine_is_fitted_by_a_task(spark, monkeypatch):
+    """The sample's rows do not come to the driver."""
+    rows = [(i, "good words here" if i % 2 else "bad insult there", "s") for i in range(80)]
+    lab = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    sizes = []
+    real = type(lab).toArrow
+    monkeypatch.setattr(type(lab), "toArrow", lambda self: (sizes.append(self.columns), real(self))[1])
+    m = toxicity_fm.train(_docs(spark, rows), lab)
+    assert sizes == [["bucket", "n", "toxic"]] and abs(m.w).max() > 0
