@@ -87,11 +87,14 @@ def cheapest_measure(curves: DataFrame, key: list[str], saving: float) -> DataFr
 
 
 def port_shares(ports: DataFrame, nodes: DataFrame, country: str) -> DataFrame:
-    """A country's port outflow by its nearest nodes, as shares of the country."""
+    """A country's port outflow by its nearest nodes, as shares of the country.
+
+    Ports of one place and country have one nearest node, so their outflow is summed first."""
     from .spatial import nearest
 
-    near = nearest(ports, nodes, country, "port", "node")
-    s = ports.join(near, "port").groupBy(country, "node").agg(F.sum("outflow").alias("outflow"))
+    place = ports.groupBy(F.struct(country, "x", "y").alias("place")).agg(F.sum("outflow").alias("outflow"))
+    near = nearest(place.select("place", "place.*"), nodes, country, "place", "node")
+    s = place.join(near, "place").groupBy(F.col(f"place.{country}").alias(country), "node").agg(F.sum("outflow").alias("outflow"))
     return s.select(country, "node", normed(F.col("outflow"), country).alias("share"))
 
 

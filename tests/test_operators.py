@@ -305,3 +305,11 @@ def test_port_shares_by_nearest_known_node(spark):
     ports = spark.createDataFrame([(1, "A", 179.9, 0.0, 3.0), (2, "A", 0.0, 50.0, 1.0), (3, "B", 5.0, 5.0, 2.0)], "port int, ct string, x double, y double, outflow double")
     nodes = spark.createDataFrame([(7, "A", -179.9, 0.0), (8, "A", 0.0, 51.0), (6, "A", None, 0.0), (9, "B", 0.0, 0.0)], "node int, ct string, x double, y double")
     assert rows(sectors.port_shares(ports, nodes, "ct"), "ct", "node", "share") == [("A", 7, 0.75), ("A", 8, 0.25), ("B", 9, 1.0)]
+
+
+def test_port_shares_of_one_port_in_two_countries(spark):
+    from gridloom.operators import sectors
+
+    ports = spark.createDataFrame([(1, "A", 0.0, 0.0, 2.0), (1, "B", 5.0, 5.0, 1.0), (None, "B", 5.0, 5.0, 1.0), (3, "B", None, 0.0, 2.0)], "port int, ct string, x double, y double, outflow double")
+    nodes = spark.createDataFrame([(7, "A", 0.0, 1.0), (8, "B", 5.0, 6.0), (6, "B", 80.0, 0.0)], "node int, ct string, x double, y double")
+    assert rows(sectors.port_shares(ports, nodes, "ct"), "ct", "node", "share") == [("A", 7, 1.0), ("B", 6, 0.5), ("B", 8, 0.5)]
