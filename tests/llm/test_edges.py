@@ -238,3 +238,31 @@ def test_machine_is_fitted_by_a_task(spark, monkeypatch):
     monkeypatch.setattr(type(lab), "toArrow", lambda self: (sizes.append(self.columns), real(self))[1])
     m = toxicity_fm.train(_docs(spark, rows), lab)
     assert sizes == [["bucket", "n", "toxic"]] and abs(m.w).max() > 0
+
+
+def test_freed_native_memory_of_the_driver_goes_back(spark):
+    """What the C library keeps of freed pieces: they lie below one that is still in use."""
+    import re
+    from pathlib import Path
+
+    from gridloom.llm import common
+
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not status.exists() or not common.trim(spark):
+        pytest.skip("no such figures, or a JVM that cannot trim")
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", status.read_text())[1]) >> 10
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+    at = [unsafe.allocateMemory(1 << 16) for _ in range(2400)]
+    for a in at:
+        unsafe.setMemory(a, 1 << 16, 1)
+    for a in at[:-1]:
+        unsafe.freeMemory(a)
+    jvm.System.gc()
+    before = held()
+    assert common.materialise(spark.range(10)).count() == 10
+    after = held()
+    unsafe.freeMemory(at[-1])
+    assert after < before - 75  # of 150
