@@ -16,9 +16,12 @@ most t(a) = a (1 - theta) / theta shingles.  Sets of one size band are cut, by a
 hash, into more than t(band) parts, so linked sets agree wholly in at least one part.
 Equal parts join documents into families (connected components); a lone document has no
 partner.  A pair's bands are the same or neighbours, so each document is cut for its own
-band and the one below.  The number of parts has a reserve over t, so an agreement on
-empty parts alone is impossible unless a document has that many empty ones, and only
-then are its empty parts compared.
+band and the one below.  The number of parts has a reserve over t: a pair agrees in one part
+more than the reserve, so a document passes over that many parts, its empty ones first, then
+those in which most documents agree (above ``COMMON``).  What two documents both have, both
+order alike, so of the parts that a pair agrees in, the two together pass over no more than
+either's reserve, and one is left.  Passages that many documents repeat so join nothing else
+into families.  A document with more empty parts than its reserve has them all compared.
 
 Equal sets are one representative (their smallest id).  Families of more than
 ``BLOCK`` representatives, or ``BULK`` shingles, are cut by size band and compared block by
@@ -36,6 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, column, connected_components, lower_ascii, materialise, mix64, partitions, pieces, shingle_hashes, word_hashes, word_spans
@@ -47,6 +51,8 @@ BULK = 1 << 22
 #: Signatures are dealt to this many buckets at least, so that what meets in several of
 #: them grows with the documents alone.
 BUCKETS = 64
+#: A part in which more documents agree than this can be passed over.
+COMMON = 4
 #: Candidates verified in one step.
 CHECKS = 64
 _SIGN = np.int64(np.iinfo(np.int64).min)
@@ -88,9 +94,10 @@ class Bands:
         return (11 * t) // 10 + 4, t
 
 
-def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of the parts of every document, for its band and the one below."""
-    out, who = [], []
+def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, spare) of the parts of every document, for its band and the one
+    below: spare is twice the number of these parts that may be passed over, plus one for an odd band."""
+    out, who, over = [], [], []
     band = bands.of(np.maximum(n, 1))
     doc_all = np.repeat(np.arange(len(n)), n)
     for below in (0, 1):
@@ -112,9 +119,47 @@ def signatures(h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         take = (size > 0) | (empty >= p - t)[owner]
         key = (b[owner].astype(U64) << U64(40)) | within.astype(U64)
         sig = mix64(mix64(key) + acc * U64(0x9E3779B97F4A7C15) + size.astype(U64))
+        spare = np.clip(p - t - 1 - empty, 0, (1 << 15) - 1).astype(np.uint16) * np.uint16(2) + (b % 2).astype(np.uint16)
         out.append(sig[take])
         who.append(owner[take])
-    return np.concatenate(out), np.concatenate(who)
+        over.append(spare[owner[take]])
+    return np.concatenate(out), np.concatenate(who), np.concatenate(over)
+
+
+MET = "a long, b long, sig long, agree int, spare int"
+
+
+def meet(t: pa.Table) -> pa.Table:
+    """Of a bucket's signatures: a and b, each document with the least of those that agree with
+    it; of signatures common to more than ``COMMON`` documents one row each of a, sig, agree
+    (their number) and spare, as not every document needs them."""
+    sig, doc, spare = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("sigs", U64), ("docs", np.int64), ("spares", np.uint16)))
+    order = np.lexsort((spare, doc, sig))
+    sig, doc, spare = sig[order], doc[order], spare[order]
+    once = np.ones(len(sig), bool)
+    once[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])  # repeated rows, the least spare
+    sig, doc, spare = sig[once], doc[once], spare[once]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    m = np.diff(np.r_[first, len(sig)])
+    agree, least = np.repeat(m, m), np.repeat(doc[first], m)
+    few, many = (agree <= COMMON) & (doc != least), agree > COMMON
+    pair = np.unique(np.stack([doc[few], least[few]], 1), axis=0)
+    none = lambda n, kind: pa.nulls(n, kind)
+    n, k = len(pair), int(many.sum())
+    edges = [pa.array(pair[:, 0]), pa.array(pair[:, 1]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32())]
+    rows = [pa.array(doc[many]), none(k, pa.int64()), pa.array(sig[many].view(np.int64)), pa.array(agree[many].astype(np.int32)), pa.array(spare[many].astype(np.int32))]
+    return pa.table([pa.chunked_array([x, y]) for x, y in zip(edges, rows)], names=["a", "b", "sig", "agree", "spare"])
+
+
+def common_edges(met: DataFrame) -> DataFrame:
+    """a, b: agreements in common signatures that a document does not pass over.  Each passes
+    over its most common ones, as many as it may (texts of one id: as many as each of them may)."""
+    own = W.partitionBy("a", F.col("spare") % 2)
+    m = met.where("sig IS NOT NULL")
+    m = m.withColumn("may", F.min("spare").over(own)).withColumn("at", F.row_number().over(own.orderBy(F.col("agree").desc(), "sig")))
+    kept = m.where("at > shiftright(may, 1)").select("a", "sig")
+    least = kept.groupBy("sig").agg(F.min("a").alias("b"))
+    return kept.join(least, "sig").where("a <> b").select("a", "b")
 
 
 def _scan(batch: pa.RecordBatch, k: int):
@@ -275,31 +320,20 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str =
                             seen.add(v)
                 keep = np.repeat(new, n)
                 n = np.where(new, n, 0)
-                sig, who = signatures(h[keep], n, bands)
+                sig, who, spare = signatures(h[keep], n, bands)
                 dest = (mix64(sig) % U64(buckets)).astype(np.int64)
                 order = np.argsort(dest, kind="stable")
-                sig, who, dest = sig[order], who[order], dest[order]
+                sig, who, spare, dest = sig[order], who[order], spare[order], dest[order]
                 cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.zeros(0, np.int64)
                 ends = np.r_[cut[1:], len(dest)] if len(dest) else cut
                 doc = ids[i + who]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(dest[cut]), pa.array([sig[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary()), pa.array([doc[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary())], ["bucket", "sigs", "docs"]
+                    [pa.array(dest[cut]), *[pa.array([v[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary()) for v in (sig, doc, spare)]], ["bucket", "sigs", "docs", "spares"]
                 )
 
-    packed = d.where("id IS NOT NULL").mapInArrow(sigs_of, "bucket long, sigs binary, docs binary")
-
-    def meet(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t.column("sigs").to_pylist()), U64)
-        doc = np.frombuffer(b"".join(t.column("docs").to_pylist()), np.int64)
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else doc
-        pair = np.unique(np.stack([doc[doc != least], least[doc != least]], 1), axis=0) if len(sig) else np.zeros((0, 2), np.int64)
-        return pa.table([pair[:, 0], pair[:, 1]], names=["a", "b"])
-
-    shared = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    packed = d.where("id IS NOT NULL").mapInArrow(sigs_of, "bucket long, sigs binary, docs binary, spares binary")
+    met = materialise(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, MET), "met")
+    shared = met.where("sig IS NULL").select("a", "b").unionAll(common_edges(met))
     # Copies of one set meet too; what matters are pairs of different sets.
     rep_of = filled.join(reps, ["n", "x", "y"]).where("id <> rep").select("id", "rep")
     rep_of = materialise(rep_of.groupBy("id").agg(F.min("rep").alias("rep")), "rep")

@@ -266,3 +266,36 @@ def test_freed_native_memory_of_the_driver_goes_back(spark):
     after = held()
     unsafe.freeMemory(at[-1])
     assert after < before - 75  # of 150
+
+
+def test_jaccard_common_passages_join_no_families(spark, monkeypatch):
+    """Passages that many documents repeat: families are the near copies alone, and no link is lost."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    lines = [" ".join(f"l{j}w{i}" for i in range(12)) for j in range(4)]
+    docs = []
+    for f in range(150):
+        base = [f"d{f}w{i}" for i in range(rng.choice([60, 150, 400]))]
+        base[10:10] = rng.choice(lines).split()
+        for c in range(2 if f % 5 == 0 else 1):
+            docs.append((len(docs), " ".join(base[: len(base) - c])))
+    sizes = []
+    plain = jaccard_rtree.tasks_of
+    monkeypatch.setattr(jaccard_rtree, "tasks_of", lambda fam, low: sizes.extend(r["count"] for r in fam.groupBy("component").count().collect()) or plain(fam, low))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard_rtree.join(df).groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1")
+    assert got.count() == 30 and max(sizes) < 20
+
+
+def test_jaccard_common_signatures(spark):
+    """Each document passes over its most common signatures only as far as all its texts may."""
+    rows = [(a, None, s, m, v) for a, s, m, v in (
+        (1, 7, 9, 2), (1, 8, 6, 2), (2, 7, 9, 2), (2, 8, 6, 2), (3, 7, 9, 0), (4, 7, 9, 0),  # 1 and 2 pass over 7
+        (5, 8, 6, 4), (5, 9, 5, 0),  # two texts: the lesser reserve holds
+        (6, 7, 9, 3), (6, 8, 6, 2),  # bands apart
+    )]
+    met = spark.createDataFrame(rows, jaccard_rtree.MET)
+    assert sorted(tuple(r) for r in jaccard_rtree.common_edges(met).collect()) == [(2, 1), (4, 3), (5, 1)]
