@@ -268,18 +268,18 @@ def test_freed_native_memory_of_the_driver_goes_back(spark):
     assert after < before - 75  # of 150
 
 
-def test_jaccard_common_passages_join_no_families(spark, monkeypatch):
-    """Passages that many documents repeat: families are the near copies alone, and no link is lost."""
+def test_jaccard_common_passage_joins_no_families(spark, monkeypatch):
+    """A passage that all documents repeat: families are the near copies alone, and no link is lost."""
     import random
 
     from pyspark.sql import functions as F
 
     rng = random.Random(3)
-    lines = [" ".join(f"l{j}w{i}" for i in range(12)) for j in range(4)]
+    passage = [f"p{i}" for i in range(40)]
     docs = []
     for f in range(150):
-        base = [f"d{f}w{i}" for i in range(rng.choice([60, 150, 400]))]
-        base[10:10] = rng.choice(lines).split()
+        base = [f"d{f}w{i}" for i in range(rng.choice([140, 145, 150]))]
+        base[10:10] = passage
         for c in range(2 if f % 5 == 0 else 1):
             docs.append((len(docs), " ".join(base[: len(base) - c])))
     sizes = []
